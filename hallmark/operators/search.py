@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hamming64, hamming_hex, hex_to_i64, is_hex, trigram_similarity
 from ..functions.hashes import HEX_PATTERN
-from ..session import checkpointed
+from ..session import checkpointed, dealt
 from ..settings import SEARCH_LIMIT, TRIGRAM_THRESHOLD
 
 HASH_BITS = 64
@@ -206,14 +206,27 @@ def choose_parts(target_rows: int, distance: int) -> int:
     return min((3, 4, 5, 6, 8, 16), key=work)
 
 
-def _table_literal(rows: list[dict[str, int]], fields: str) -> Column:
-    # one folded literal, instead of an expression node for each number
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+def _exploded(
+    rows: DataFrame, word: str, entries: list[dict[str, int]], tag: str = ""
+) -> DataFrame:
+    """One row per entry, with the entry's bits of `word`, some of them flipped.
+
+    The entries are one folded literal, so the loop over them stays in generated
+    code.
+    """
+    part, key = f"part{tag}", f"key{tag}"
+    fields = ", ".join(f"{name} bigint" for name in entries[0])
+    literal = F.from_json(F.lit(json.dumps(entries)), f"array<struct<{fields}>>")
+    grown = rows.select(*rows.columns, F.inline(literal))
+    if "at" in entries[0]:  # each outer part has entries of its own
+        grown = grown.filter(F.col("at") == F.col("part"))
+    bits = F.col(word).bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
+    return grown.select(*rows.columns, F.col("p").alias(part), bits.alias(key))
 
 
-def _first_met(slices: dict[int, _Slice], difference: Column) -> Column:
+def _first_met(slices: list[_Slice], difference: Column) -> Column:
     choice = F.lit(None).cast("int")
-    for number, s in reversed(slices.items()):
+    for number, s in reversed(list(enumerate(slices))):
         choice = F.when(s.met(difference), number).otherwise(choice)
     return choice
 
@@ -240,143 +253,81 @@ def hash_pairs(
     parts = parts or choose_parts(target_rows, max_distance)
     hot_rows = hot_rows or max(4096, target_rows // 1024)
     bounds = _cut(0, HASH_BITS, parts)
-    outer = dict(enumerate(_slices(bounds, max_distance)))
-    finer = math.ceil(3 / (parts - 1))
-    inner = {
-        n: dict(
-            enumerate(
-                _slices(
-                    [
-                        piece
-                        for b in bounds
-                        if b != (s.low, s.high)
-                        for piece in _cut(*b, min(finer, b[1] - b[0]))
-                    ],
-                    max_distance,
-                )
-            )
-        )
-        for n, s in outer.items()
-    }
-
-    def masked(word: str, mask: str) -> Column:
-        return F.col(word).bitwiseAND(F.col(mask))
+    outer = _slices(bounds, max_distance)
+    difference = F.col("q").bitwiseXOR(F.col("t"))
+    distance = F.bit_count(difference)
 
-    index = targets.select(
-        "t",
-        F.inline(
-            _table_literal(
-                [{"part": n, "mask": s.mask} for n, s in outer.items()],
-                "part int, mask bigint",
-            )
-        ),
-    ).select("t", "part", masked("t", "mask").alias("key"))
-    probes = queries.select(
+    index = _exploded(
+        targets, "t", [{"p": n, "mask": s.mask, "flip": 0} for n, s in enumerate(outer)]
+    )
+    probes = _exploded(
+        dealt(queries),
         "q",
-        F.inline(
-            _table_literal(
-                [
-                    {"part": n, "mask": s.mask, "flip": f}
-                    for n, s in outer.items()
-                    for f in s.differences()
-                ],
-                "part int, mask bigint, flip bigint",
-            )
-        ),
-    ).select("q", "part", masked("q", "mask").bitwiseXOR(F.col("flip")).alias("key"))
+        [
+            {"p": n, "mask": s.mask, "flip": f}
+            for n, s in enumerate(outer)
+            for f in s.differences()
+        ],
+    )
 
-    difference = F.col("q").bitwiseXOR(F.col("t"))
-    distance = F.bit_count(difference)
-    found_here = F.col("part") == _first_met(outer, difference)
-
-    if target_rows > hot_rows:
-        # More than target_rows / hot_rows keys per part cannot be hot, so this
-        # table has a few thousand rows whatever the data.
-        hot = F.broadcast(
-            index.groupBy("part", "key")
-            .count()
-            .filter(F.col("count") > hot_rows)
-            .select("part", "key", F.lit(True).alias("hot"))
+    def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        # Merge join: the planner does not see how far a literal list multiplies
+        # rows, and would broadcast a side that looks small before it is.
+        near = (distance <= max_distance) & (
+            F.col("part") == _first_met(outer, difference)
         )
-        inner_masks = F.array(
-            *[
-                _table_literal(
-                    [{"part2": n, "mask2": s.mask} for n, s in inner[i].items()],
-                    "part2 int, mask2 bigint",
-                )
-                for i in outer
-            ]
+        return (
+            left.join(right.hint("merge"), keys)
+            .filter(near)
+            .select("q", "t", distance.alias("distance"))
         )
-        inner_flips = F.array(
-            *[
-                _table_literal(
-                    [
-                        {"part2": n, "mask2": s.mask, "flip2": f}
-                        for n, s in inner[i].items()
-                        for f in s.differences()
-                    ],
-                    "part2 int, mask2 bigint, flip2 bigint",
-                )
-                for i in outer
-            ]
-        )
-        whole = _table_literal(
-            [{"part2": -1, "mask2": 0}], "part2 int, mask2 bigint"
-        )
-        whole_flip = _table_literal(
-            [{"part2": -1, "mask2": 0, "flip2": 0}],
-            "part2 int, mask2 bigint, flip2 bigint",
-        )
-        is_hot = F.coalesce("hot", F.lit(False))
-        index = (
-            index.join(hot, ["part", "key"], "left")
-            .select(
-                "t",
-                "part",
-                "key",
-                F.inline(
-                    F.when(is_hot, F.get(inner_masks, F.col("part"))).otherwise(whole)
-                ),
-            )
-            .select("t", "part", "key", "part2", masked("t", "mask2").alias("key2"))
-        )
-        probes = (
-            probes.join(hot, ["part", "key"], "left")
-            .select(
-                "q",
-                "part",
-                "key",
-                F.inline(
-                    F.when(is_hot, F.get(inner_flips, F.col("part"))).otherwise(
-                        whole_flip
-                    )
-                ),
-            )
-            .select(
-                "q",
-                "part",
-                "key",
-                "part2",
-                masked("q", "mask2").bitwiseXOR(F.col("flip2")).alias("key2"),
-            )
-        )
-        keys = ["part", "key", "part2", "key2"]
-        second = F.lit(None).cast("int")
-        for i in reversed(outer):
-            second = F.when(
-                F.col("part") == i, _first_met(inner[i], difference)
-            ).otherwise(second)
-        found_here = found_here & (
-            (F.col("part2") == -1) | (F.col("part2") == second)
-        )
-    else:
-        keys = ["part", "key"]
 
-    return (
-        probes.join(index, keys)
-        .filter((distance <= max_distance) & found_here)
-        .select("q", "t", distance.alias("distance"))
+    keys = ["part", "key"]
+    if target_rows <= hot_rows:
+        return met(probes, index, keys)
+
+    # At most target_rows / hot_rows keys per part can be hot, so this table has a
+    # few thousand rows whatever the data.
+    hot = F.broadcast(
+        index.groupBy(keys).count().filter(F.col("count") > hot_rows).select(keys)
+    )
+    finer = math.ceil(3 / (parts - 1))
+    inner = [
+        _slices(
+            [
+                piece
+                for b in bounds
+                if b != (s.low, s.high)
+                for piece in _cut(*b, min(finer, b[1] - b[0]))
+            ],
+            max_distance,
+        )
+        for s in outer
+    ]
+    hot_index = _exploded(
+        index.join(hot, keys, "left_semi"),
+        "t",
+        [
+            {"at": i, "p": n, "mask": s.mask, "flip": 0}
+            for i, slices in enumerate(inner)
+            for n, s in enumerate(slices)
+        ],
+        "2",
+    )
+    hot_probes = _exploded(
+        probes.join(hot, keys, "left_semi"),
+        "q",
+        [
+            {"at": i, "p": n, "mask": s.mask, "flip": f}
+            for i, slices in enumerate(inner)
+            for n, s in enumerate(slices)
+            for f in s.differences()
+        ],
+        "2",
     )
+    cold = met(probes, index.join(hot, keys, "left_anti"), keys)
+    within = met(hot_probes, hot_index, [*keys, "part2", "key2"]).distinct()
+    return cold.unionByName(within)
 
 
 def _distinct_hashes(table: DataFrame, column: str, name: str) -> DataFrame:
@@ -400,6 +351,7 @@ def radius_join(
     limits the query to that account. Copies meet once, as hashes; rows come
     back by equi-joins on the hash.
     """
+    tuning.setdefault("target_rows", ledger.count())  # row counts are in the footers
     pairs = hash_pairs(
         _distinct_hashes(queries, column, "q"),
         _distinct_hashes(ledger, column, "t"),

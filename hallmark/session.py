@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read on from there.
+    """Write `df` to a table in the shared folder and read on from there.
 
-    Used where a result feeds several later steps: the steps then survive the
-    loss of executors without running the whole chain again.
+    Used where a result feeds several later steps: they then survive the loss of
+    executors without running the whole chain again, and the planner knows the
+    size of what it reads. The folder is the cluster's to clean.
     """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for steps whose work does not show in the size of their input."""
+    return max(
+        spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+
+
+def dealt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt out evenly over `tasks`.
+
+    For rows that cost milliseconds each, or that grow into hundreds: a scan or a
+    coalesced shuffle sizes its tasks by bytes and would leave all to a few.
+    """
+    return rows.repartition(tasks or task_count(rows.sparkSession))
