@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,13 @@ def local_session(cores: str | int = "*", app: str = "hallmark") -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a fresh local one where none is named."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, named)
-    return named
+    """The cluster's shared folder; a fresh local one only where none is named."""
+    return spark.conf.get(CHECKPOINT_CONF, None) or _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
