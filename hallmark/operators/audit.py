@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import b64url_decode, chain_hash, derive_subkey, hmac_sha256
+from ..functions import b64url_decode, b64url_encode, chain_hash, derive_subkey, hmac_sha256
 from ..settings import KEY_NAMESPACE
 
 
@@ -57,8 +57,6 @@ def rate_limit_audit(
 
 def challenge_token(nonce: Column, iat: Column, exp: Column, mac: Column) -> Column:
     """Token text: URL-safe base64 of a small JSON object, a dot, and the MAC."""
-    from ..functions import b64url_encode
-
     body = F.to_json(
         F.struct(nonce.alias("nonce"), iat.alias("iat"), exp.alias("exp"))
     )
@@ -82,30 +80,25 @@ def challenge_mac(
 
 def parse_challenges(log: DataFrame) -> DataFrame:
     """Add `nonce, iat, exp, mac` from `token`; all null when malformed."""
-    body = F.regexp_extract("token", r"^(.*)\.[^.]*$", 1)
-    fields = F.from_json(
-        b64url_decode(body).cast("string"), "nonce string, iat bigint, exp bigint"
+    mac = F.substring_index("token", ".", -1)
+    body = F.substring(
+        F.col("token"), F.lit(1), F.length("token") - F.length(mac) - 1
     )
-    return (
-        log.withColumn("_f", fields)
-        .withColumn(
-            "_ok",
-            F.coalesce(
-                F.col("token").contains(".")
-                & F.col("_f.nonce").isNotNull()
-                & F.col("_f.iat").isNotNull()
-                & F.col("_f.exp").isNotNull(),
-                F.lit(False),
-            ),
-        )
-        .withColumns(
-            {
-                **{n: F.when(F.col("_ok"), F.col(f"_f.{n}")) for n in ("nonce", "iat", "exp")},
-                "mac": F.when(F.col("_ok"), F.substring_index("token", ".", -1)),
-            }
-        )
-        .drop("_f", "_ok")
+    # json_tuple makes its columns once; a parsed struct would be built again for
+    # each use of a field, and for each filter that moves below it
+    fields = F.json_tuple(b64url_decode(body).cast("string"), "nonce", "iat", "exp")
+    parsed = log.select("*", fields.alias("nonce", "_iat", "_exp")).withColumns(
+        {n: F.col(f"_{n}").try_cast("bigint") for n in ("iat", "exp")}
+    )
+    whole = (
+        F.col("nonce").isNotNull() & F.col("iat").isNotNull() & F.col("exp").isNotNull()
     )
+    return parsed.withColumns(
+        {
+            "mac": F.when(whole, mac),
+            **{n: F.when(whole, F.col(n)) for n in ("nonce", "iat", "exp")},
+        }
+    ).drop("_iat", "_exp")
 
 
 def challenge_audit(
@@ -122,8 +115,7 @@ def challenge_audit(
     )
     seen = F.unix_seconds(F.col("seen_at").cast("timestamp"))
     uses = (
-        parsed.filter(F.col("nonce").isNotNull())
-        .groupBy("account_id", "nonce")
+        parsed.groupBy("account_id", "nonce")
         .agg(
             F.count(F.lit(1)).alias("uses"),
             F.min(F.struct("seen_at", "event_id")).alias("_first"),

@@ -35,7 +35,7 @@ from ..operators import (
     search,
     views,
 )
-from ..session import shared_dir
+from ..session import checkpointed, shared_dir
 from ..settings import HASHES
 from ..sources import images as image_source
 from ..sources import ledger as ledger_source
@@ -497,7 +497,8 @@ def _marked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = derived.images(spark, sf_dir)
     codes = derived.image_payloads(spark, sf_dir).select("image_id", "codeword")
     marked = blocks.embed_bits(blocks.block_dct(blocks.image_blocks(plain)), codes)
-    return blocks.write_luminance(plain, blocks.to_pixels(blocks.block_idct(marked)))
+    changed = blocks.write_luminance(plain, blocks.to_pixels(blocks.block_idct(marked)))
+    return checkpointed(changed)  # marking and reading back are two jobs
 
 
 @_named
