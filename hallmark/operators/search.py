@@ -207,22 +207,28 @@ def choose_parts(target_rows: int, distance: int) -> int:
     return min((3, 4, 5, 6, 7, 8, 10, 12, 16), key=work)
 
 
-def _exploded(
-    rows: DataFrame, word: str, entries: list[dict[str, int]], tag: str = ""
-) -> DataFrame:
-    """One row per entry, with the entry's bits of `word`, some of them flipped.
+def _entries(slices: list[_Slice], flipped: bool) -> list[dict[str, int]]:
+    return [
+        {"p": n, "mask": s.mask, "flip": f}
+        for n, s in enumerate(slices)
+        for f in (s.differences() if flipped else [0])
+    ]
 
-    The entries are one folded literal, so the loop over them stays in generated
-    code.
-    """
-    part, key = f"part{tag}", f"key{tag}"
-    fields = ", ".join(f"{name} bigint" for name in entries[0])
-    literal = F.from_json(F.lit(json.dumps(entries)), f"array<struct<{fields}>>")
-    grown = rows.select(*rows.columns, F.inline(literal))
-    if "at" in entries[0]:  # each outer part has entries of its own
-        grown = grown.filter(F.col("at") == F.col("part"))
+
+def _exploded(rows: DataFrame, word: str, entries: Column, tag: str = "") -> DataFrame:
+    """One row per entry, with the entry's bits of `word`, some of them flipped."""
     bits = F.col(word).bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip"))
-    return grown.select(*rows.columns, F.col("p").alias(part), bits.alias(key))
+    return rows.select(*rows.columns, F.inline(entries)).select(
+        *rows.columns, F.col("p").alias(f"part{tag}"), bits.alias(f"key{tag}")
+    )
+
+
+def _literal(entries: list, depth: int = 1) -> Column:
+    """Entries as one folded literal, so that loops over them are generated code."""
+    kind = "struct<p int, mask bigint, flip bigint>"
+    for _ in range(depth):
+        kind = f"array<{kind}>"
+    return F.from_json(F.lit(json.dumps(entries)), kind)
 
 
 def _first_met(slices: list[_Slice], difference: Column) -> Column:
@@ -258,18 +264,8 @@ def hash_pairs(
     difference = F.col("q").bitwiseXOR(F.col("t"))
     distance = F.bit_count(difference)
 
-    index = _exploded(
-        targets, "t", [{"p": n, "mask": s.mask, "flip": 0} for n, s in enumerate(outer)]
-    )
-    probes = _exploded(
-        dealt(queries),
-        "q",
-        [
-            {"p": n, "mask": s.mask, "flip": f}
-            for n, s in enumerate(outer)
-            for f in s.differences()
-        ],
-    )
+    index = _exploded(targets, "t", _literal(_entries(outer, flipped=False)))
+    probes = _exploded(dealt(queries), "q", _literal(_entries(outer, flipped=True)))
 
     def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         # Merge join: the planner does not see how far a literal list multiplies
@@ -305,26 +301,16 @@ def hash_pairs(
         )
         for s in outer
     ]
+
+    def finer_entries(flipped: bool) -> Column:
+        every = _literal([_entries(slices, flipped) for slices in inner], depth=2)
+        return F.get(every, F.col("part"))
+
     hot_index = _exploded(
-        index.join(hot, keys, "left_semi"),
-        "t",
-        [
-            {"at": i, "p": n, "mask": s.mask, "flip": 0}
-            for i, slices in enumerate(inner)
-            for n, s in enumerate(slices)
-        ],
-        "2",
+        index.join(hot, keys, "left_semi"), "t", finer_entries(False), "2"
     )
     hot_probes = _exploded(
-        probes.join(hot, keys, "left_semi"),
-        "q",
-        [
-            {"at": i, "p": n, "mask": s.mask, "flip": f}
-            for i, slices in enumerate(inner)
-            for n, s in enumerate(slices)
-            for f in s.differences()
-        ],
-        "2",
+        probes.join(hot, keys, "left_semi"), "q", finer_entries(True), "2"
     )
     cold = met(probes, index.join(hot, keys, "left_anti"), keys)
     within = met(hot_probes, hot_index, [*keys, "part2", "key2"]).distinct()

@@ -30,6 +30,7 @@ from ..operators import (
     blocks,
     codewords,
     commitments,
+    embed,
     fingerprints,
     match,
     search,
@@ -512,6 +513,42 @@ def extract_and_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_named
+def embed_and_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mark whole images, register them, and verify the stored pixels."""
+    path = _folder(spark, "marked")
+    ids = derived.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ok"))
+    claims = (
+        derived.claims(spark, sf_dir)
+        .select("ok", "account_id", "device_signature", "creation_timestamp", "zkp_commitment_hex")
+        .join(ids, "ok")
+        .withColumn("image_id", F.col("ok").cast("string"))
+    )
+    marked = embed.embed_images(derived.images(spark, sf_dir), claims, MASTER)
+    ledger_source.register(marked.drop("image_id", "ok"), path, MASTER)
+    ledger = ledger_source.read_ledger(spark, path)
+    stored = ledger_source.read_ledger_images(spark, path).join(
+        ledger.select("asset_id", "image_width", "image_height"), "asset_id"
+    )
+    suspects = stored.select(
+        F.col("asset_id").alias("image_id"),
+        "asset_id",
+        F.col("image_height").alias("height"),
+        F.col("image_width").alias("width"),
+        F.col("watermarked_image").alias("data"),
+    )
+    checked = match.verify(suspects, ledger).select("asset_id", "verified")
+    return ledger.join(checked, "asset_id").select(
+        "payload_hex",
+        "account_id",
+        "image_width",
+        "image_height",
+        "file_size_bytes",
+        (F.col("psnr_db") > 25).alias("clear"),
+        "verified",
+    )
+
+
 @_named
 def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = derived.images(spark, sf_dir)

@@ -412,6 +412,11 @@ def oracle_sql() -> dict[str, str]:
           select vec_id::VARCHAR image_id, 'MATCH_FOUND' status, l.asset_id, l.payload_hex,
             true payload_match
           from embeddings join ledger l on l.ok=vec_id""",
+        "embed_and_register": """
+          select l.payload_hex, l.account_id, (128 + 8*(vec_id%3))::INT image_width,
+            128::INT image_height, ((128 + 8*(vec_id%3))*384)::BIGINT file_size_bytes,
+            true clear, true verified
+          from embeddings join ledger l on l.ok=vec_id""",
         # --- blocks
         "image_blocks": """
           select image_id, b::INT block_idx,
