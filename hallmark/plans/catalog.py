@@ -678,7 +678,9 @@ def phash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_named
 def hash_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.hash_images(derived.images(spark, sf_dir))
+    return fingerprints.hash_images(derived.images(spark, sf_dir)).select(
+        "image_id", *HASHES
+    )
 
 
 # --- audits ------------------------------------------------------------------------------------------

@@ -150,6 +150,26 @@ _CTES = {
         +114*('0x'||substr(d[((3*n)//32+1)::BIGINT],(2*((3*n)%32)+1)::INT,2))::INT
         +500)//1000) v
       from images""",
+    "strips": """
+      select image_id, width, r::INT r, list_transform(range(width), lambda x:
+        v[((4*r)*width+x+1)::BIGINT] + v[((4*r+1)*width+x+1)::BIGINT]
+        + v[((4*r+2)*width+x+1)::BIGINT] + v[((4*r+3)*width+x+1)::BIGINT]) s
+      from luma, range(32) t(r)""",
+    "squares": """
+      select image_id, r, list_transform(range(32), lambda c: list_sum(list_transform(
+          range((c*width//32)::BIGINT, least(((c+1)*width+31)//32, width)::BIGINT), lambda x:
+          s[(x+1)::BIGINT] * (least((c+1)*width, 32*(x+1)) - greatest(c*width, 32*x))))) a,
+        list_transform(range(9), lambda c: list_sum(list_transform(
+          range((c*width//9)::BIGINT, least(((c+1)*width+8)//9, width)::BIGINT), lambda x:
+          s[(x+1)::BIGINT] * (least((c+1)*width, 9*(x+1)) - greatest(c*width, 9*x))))) b
+      from strips""",
+    "image_grids": """
+      select image_id, flatten(list(a order by r)) g, list(b order by r) nines
+      from squares group by image_id""",
+    "eights": """
+      select image_id, g, nines, list_transform(range(64), lambda n: list_sum(list_transform(range(16),
+        lambda j: g[((4*(n//8) + j//4)*32 + 4*(n%8) + j%4 + 1)::BIGINT]))) e
+      from image_grids""",
     "vectors": """
       select vec_id, list_transform(embedding, lambda v: v::DOUBLE) e from embeddings""",
     "cells32": """
@@ -486,6 +506,23 @@ def oracle_sql() -> dict[str, str]:
             select vec_id, c, list_median(list_transform(list_filter(range(64), lambda n: n>=8 and n%8<>0),
               lambda n: c[n+1])) med from low)
           select vec_id, {_hash_bits('c[#+1] > med')} phash from cut""",
+        "hash_images": f"""
+          low as (
+            select image_id, list_transform(range(64), lambda n:
+              list_inner_product(rows32[n//8+1], list_transform(range(32), lambda r:
+                list_inner_product(rows32[n%8+1], list_transform(g[(32*r+1):(32*r+32)], lambda x: x::DOUBLE))))) c
+            from image_grids, basis32),
+          cut as (
+            select image_id, c, list_median(list_transform(list_filter(range(64), lambda n: n>=8 and n%8<>0),
+              lambda n: c[n+1])) med from low),
+          nine as (
+            select image_id, e, list_sum(e) total, list_median(e) mid, list_transform(range(72), lambda i:
+              list_sum(list_transform(range(4), lambda j: nines[(4*(i//9)+j+1)::BIGINT][(i%9+1)::BIGINT]))) d
+            from eights)
+          select n.image_id, {_hash_bits('c[#+1] > med')} phash,
+            {_hash_bits('d[(#+#//8+1)+1] > d[(#+#//8)+1]')} dhash,
+            {_hash_bits('64*e[#+1] > total')} ahash, {_hash_bits('e[#+1] > mid')} whash
+          from nine n join cut on cut.image_id=n.image_id""",
         # --- audits
         "audit_chain": """
           select account_id||'-t' account_id, count(*) mismatches from ledger
