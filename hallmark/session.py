@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -26,9 +28,35 @@ def local_session(cores: str | int = "*", app: str = "hallmark") -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send this package to the Python workers and pin the time zone.
+
+    Batch functions are looked up by name in the workers, wherever those run.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    application = spark.sparkContext.applicationId
+    if application not in _prepared:
+        spark.sparkContext.addPyFile(_package_archive())
+        _prepared.add(application)
+
+
+_prepared: set[str] = set()
+
+
+def _package_archive() -> str:
+    package = os.path.dirname(os.path.abspath(__file__))
+    return shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "hallmark"),
+        "zip",
+        root_dir=os.path.dirname(package),
+        base_dir=os.path.basename(package),
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a fresh local one only where none is named."""
     return spark.conf.get(CHECKPOINT_CONF, None) or _local_dir()
