@@ -7,6 +7,7 @@ from .encoding import (
     b64url_encode,
     iso_utc,
     parse_hex_lenient,
+    uuid_text,
 )
 from .hashes import (
     bits_to_hex,

@@ -37,5 +37,11 @@ def iso_utc(c: Column | str) -> Column:
     return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
+def uuid_text(digest: Column | str) -> Column:
+    """First 32 hex digits in the shape of a UUID."""
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(_col(digest), at, n) for at, n in cuts])
+
+
 def account_hash16(c: Column | str) -> Column:
     return F.substring(F.sha2(_col(c).cast("binary"), 256), 1, 16)

@@ -17,6 +17,7 @@ from ..functions import (
     hex_to_i64,
     i64_to_hex,
     payload_hex,
+    uuid_text,
 )
 from ..operators.arrays import byte_matrix, lists
 from ..operators.audit import challenge_mac, challenge_token
@@ -45,11 +46,6 @@ def _seconds(count: Column) -> Column:
     return F.make_dt_interval(secs=count)
 
 
-def _uuid(digest: Column) -> Column:
-    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
-
-
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What clients send: one claim per order."""
     ok = F.col("o_orderkey")
@@ -81,7 +77,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full ledger rows plus `ok`, the order key."""
     ok = F.col("ok")
-    asset = _uuid(F.md5(F.concat(F.lit("asset|"), ok.cast("string")).cast("binary")))
+    asset = uuid_text(F.md5(F.concat(F.lit("asset|"), ok.cast("string")).cast("binary")))
     manifest = F.substring(F.md5(F.concat(F.lit("m|"), ok.cast("string")).cast("binary")), 1, 32)
     return (
         claims(spark, sf_dir)
