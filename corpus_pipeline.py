@@ -4,21 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hallmark.llm import near_dups
+from hallmark.llm import bpe, decontaminate, near_dups, toxicity
+from hallmark.llm.queries import WORD_BPE
 from hallmark.llm.tables import step, table
 from hallmark.session import prepare
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network rejects go."""
+    prepare(spark)
+    return toxicity.without_toxic(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest doc_id."""
     prepare(spark)
     return near_dups.first_of_each(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or nearly one, go."""
+    prepare(spark)
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, their number, and the digest of the text they decode to."""
+    prepare(spark)
+    path = public_tokenizers.path(WORD_BPE)
+    return bpe.decode(bpe.encode(docs, path), path).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_duplicates", near_duplicates),
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("bpe", tokenized),
 ]
 
 # Trained models and near-duplicates are beyond SQL; tests compare with brute force.
@@ -27,6 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = step(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -240,16 +240,17 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, similarity: tuple[int
 
 
 def first_of_each(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of `docs` whose document is the first of its group, with all columns.
+    """One row for each document of `docs` that is the first of its group, with all columns.
 
-    A doc_id that stands in several rows keeps the one of the smallest text hash; rows
-    without a doc_id stay.
+    A doc_id that stands in several rows is one document: it stays if one of its texts
+    is the first of a group, with the text of the smallest hash. Rows without a doc_id
+    all stay.
     """
-    found = near_duplicates(docs, size, similarity).where("kept and doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("copies"))
-    firsts = docs.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"))
-    once = firsts.where("copies = 1").drop("_id", "copies")
-    again = firsts.where("copies > 1").drop("copies")
+    found = near_duplicates(docs, size, similarity).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    ids = ids.where("_kept").select(F.col("doc_id").alias("_id"), "_rows")
+    firsts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"))
     order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.col("text"))
-    again = again.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_id", "_nth")
-    return once.union(again).union(docs.where("doc_id is null"))
+    again = firsts.where("_rows > 1").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    stay = firsts.where("_rows = 1").select(docs.columns).union(again.select(docs.columns))
+    return stay.union(docs.where("doc_id is null"))

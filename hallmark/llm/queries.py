@@ -8,11 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hallmark.llm import bpe, decontaminate, exact_search, near_dups, quotes, token_counts, url_filters
+from hallmark.llm import (
+    bpe,
+    decontaminate,
+    exact_search,
+    licenses,
+    lm_scores,
+    near_dups,
+    quotes,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from hallmark.llm.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 TOKEN_LIMIT = 4096
 URL_RULES = (
     ("org/", "allow"),
@@ -44,11 +56,36 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: each source has folders of folders of 50 files."""
+    number = F.col("doc_id")
+    top = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"))
+    part = F.concat(top, F.lit("part-"), F.floor(number / 1000), F.lit("/"))
+    inner = F.concat(part, F.lit("set-"), F.floor(number / 50) % 20, F.lit("/"))
+    path = (
+        F.when(number % 10_000 == 11, F.concat(top, F.lit("LICENSE")))
+        .when(number % 1000 == 7, F.concat(part, F.lit("LICENSE")))
+        .when(number % 10 == 0, F.concat(inner, F.lit("LICENSE.txt")))
+        .otherwise(F.concat(inner, F.lit("file-"), number, F.lit(".txt")))
+    )
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = exact_search.whole_vectors(table(spark, sf_dir, "embeddings"))
     return exact_search.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_BPE)
+    return lm_scores.scored(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 

@@ -52,9 +52,10 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
 
 class Words:
     """Words of a slice: `bytes_`, `starts`, `ends` of each word, and `bounds`, the
-    place of each text's first word among all (one entry more than texts)."""
+    place of each text's first word among all (one entry more than texts). Bytes that
+    `gaps` marks are between words."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gaps: np.ndarray = _GAP):
         texts = texts.cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
         data = texts.buffers()[2]
@@ -62,7 +63,7 @@ class Words:
         self.bytes_ = whole[offsets[0] : offsets[-1]]
         self.offsets = offsets - offsets[0]
         size = len(self.bytes_)
-        inside = ~_GAP[self.bytes_]
+        inside = ~gaps[self.bytes_]
         begins = np.zeros(size + 1, bool)
         begins[self.offsets] = True
         first, last = inside.copy(), inside.copy()
