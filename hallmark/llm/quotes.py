@@ -26,14 +26,17 @@ def normalised(text: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """array<struct<level int, text string>>: runs of lines of one quote level."""
-    lines = F.transform(
+    return _runs(_lines(text))
+
+
+def _lines(text: Column) -> Column:
+    return F.transform(
         F.split(text, "\r\n|\n|\r", -1),
         lambda line: F.struct(
             F.length(F.regexp_replace(F.regexp_extract(line, _MARK, 0), "[^>]", "")).alias("level"),
             F.regexp_replace(line, _MARK + " ?", "").alias("body"),
         ),
     )
-    return _runs(lines)
 
 
 def _runs(lines: Column) -> Column:
@@ -60,16 +63,9 @@ def parsed(messages: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     quoting = text.rlike("(?m)" + _MARK)
-    lines = F.transform(
-        F.split(text, "\r\n|\n|\r", -1),
-        lambda line: F.struct(
-            F.length(F.regexp_replace(F.regexp_extract(line, _MARK, 0), "[^>]", "")).alias("level"),
-            F.regexp_replace(line, _MARK + " ?", "").alias("body"),
-        ),
-    )
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.col("role").cast("string").alias("role"), text.alias("text"), F.when(quoting, lines).alias("lines"),
+        F.col("role").cast("string").alias("role"), text.alias("text"), F.when(quoting, _lines(text)).alias("lines"),
     )
     rows = rows.withColumn("parts", F.when(F.col("lines").isNotNull(), _runs(F.col("lines")))).drop("lines")
     own = F.transform(
@@ -79,7 +75,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         ),
         lambda x: F.when(x["then"] > 0, F.regexp_replace(x["p"]["text"], "(?:^|\\n)[^\\n]*wrote:\\s*$", "")).otherwise(x["p"]["text"]),
     )
-    kept = F.filter(F.transform(own, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(own, lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
     said = F.when(F.col("parts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.withColumn("said", said)
 
