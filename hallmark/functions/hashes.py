@@ -21,8 +21,9 @@ def is_hex(c: Column | str) -> Column:
 
 
 def hex_to_i64(c: Column | str) -> Column:
-    """Up to 16 hex digits as a signed bigint, all 64 bits kept."""
-    return F.conv(_col(c), 16, -10).cast("bigint")
+    """Up to 16 hex digits as a signed bigint, all 64 bits kept; null for longer text."""
+    text = _col(c)
+    return F.when(F.length(text) <= 16, F.conv(text, 16, -10).cast("bigint"))
 
 
 def i64_to_hex(c: Column | str) -> Column:

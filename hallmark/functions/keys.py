@@ -54,9 +54,12 @@ def payload_hex(
     namespace: str = KEY_NAMESPACE,
 ) -> Column:
     """128-bit provenance payload of (account, microseconds, device)."""
+    # fixed value: the purpose that payload keys are derived for
     key = derive_subkey(master, "watermark/payload/v1", namespace=namespace)
     micros = F.unix_micros(_col(timestamp).cast("timestamp"))
-    message = F.concat_ws("|", _col(account), micros.cast("string"), _col(device))
+    # concat_ws leaves nulls out, which would let two different rows agree
+    parts = (_col(account), micros.cast("string"), _col(device))
+    message = F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
     return F.substring(hmac_sha256(message, key), 1, 32)
 
 

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import hamming64, hamming_hex, hex_to_i64, is_hex, trigram_similarity
 from ..functions.hashes import HEX_PATTERN
 from ..session import checkpointed, dealt
-from ..settings import SEARCH_LIMIT, TRIGRAM_THRESHOLD
+from ..settings import SEARCH_LIMIT, SEARCH_MAX_DISTANCE, TRIGRAM_THRESHOLD
 
 HASH_BITS = 64
 NO_DISTANCE = 10**9
 PROBE_COST = 200
+BY_COLUMN = -1
 
 
 # --- one query ---------------------------------------------------------------------
@@ -37,7 +38,9 @@ def hash_text(table: DataFrame, column: str) -> Column:
 
 def _distance(ledger: DataFrame, column: str, query_hex: str) -> Column:
     if len(query_hex) == HASH_BITS // 4:
-        return hamming64(hash64(ledger, column), hex_to_i64(F.lit(query_hex)))
+        near = hamming64(hash64(ledger, column), hex_to_i64(F.lit(query_hex)))
+        # texts that are no word of 64 bits differ in all digits of the longer one
+        return F.coalesce(near, hamming_hex(hash_text(ledger, column), F.lit(query_hex)))
     return hamming_hex(hash_text(ledger, column), F.lit(query_hex))
 
 
@@ -47,15 +50,18 @@ def search_hash(
     query_hex: str,
     account: str | None = None,
     limit: int = SEARCH_LIMIT,
-    max_distance: int | None = 10,
+    max_distance: int | None = BY_COLUMN,
     trigrams: float | None = None,
 ) -> DataFrame:
     """The `limit` rows nearest to one hash, nearest first, ties by id.
 
+    Each hash has its own default distance, 10 where none is set.
     `max_distance=None` returns the nearest rows however far. `trigrams` (say
     0.3) first drops rows whose hex text looks different; that loses rows and
     is there for callers who need the answers of a trigram index.
     """
+    if max_distance == BY_COLUMN:
+        max_distance = SEARCH_MAX_DISTANCE.get(column, 10)
     valid = F.lit(query_hex or "").rlike(HEX_PATTERN)
     rows = ledger.filter(valid)
     if account is not None:
@@ -75,7 +81,7 @@ def search_trigram(
     query_hex: str,
     account: str | None = None,
     limit: int = SEARCH_LIMIT,
-    max_distance: int = 10,
+    max_distance: int = BY_COLUMN,
     threshold: float = TRIGRAM_THRESHOLD,
 ) -> DataFrame:
     return search_hash(
@@ -89,7 +95,7 @@ def search_combined(
     dhash: str | None,
     account: str | None = None,
     limit: int = 10,
-    max_distance: int | None = 10,
+    max_distance: int | None = BY_COLUMN,
     stub_zeros: bool = True,
 ) -> DataFrame:
     """pHash hits first, then rows that only dHash found, cut to `limit`.
@@ -258,7 +264,8 @@ def hash_pairs(
     if target_rows is None:
         target_rows = targets.count()
     parts = parts or choose_parts(target_rows, max_distance)
-    hot_rows = hot_rows or max(4096, target_rows // 1024)
+    # the floor keeps the list of hot keys, which is broadcast, to a few thousand
+    hot_rows = max(hot_rows or 4096, target_rows // 1024)
     bounds = _cut(0, HASH_BITS, parts)
     outer = _slices(bounds, max_distance)
     difference = F.col("q").bitwiseXOR(F.col("t"))
@@ -398,6 +405,12 @@ def nearest_match(
         )
     )
     keyed = queries.select("query_id", hash64(queries, column).alias("q"))
+    unread = keyed.filter("q IS NULL").select(
+        "query_id",
+        F.lit(None).cast("bigint").alias("match_idx"),
+        F.lit(NO_DISTANCE).alias("distance"),
+    )
+    keyed = keyed.filter("q IS NOT NULL")
     open_hashes = keyed.select("q").distinct()
     size = by_hash.count()
     settled: DataFrame | None = None
@@ -418,11 +431,12 @@ def nearest_match(
             "query_id",
             F.lit(None).cast("bigint").alias("match_idx"),
             F.lit(NO_DISTANCE).alias("distance"),
-        )
-    return keyed.join(settled, "q", "left").select(
+        ).unionByName(unread)
+    found = keyed.join(settled, "q", "left").select(
         "query_id",
         F.when(F.col("best.distance") <= threshold, F.col("best.idx")).alias(
             "match_idx"
         ),
         F.coalesce("best.distance", F.lit(NO_DISTANCE)).alias("distance"),
     )
+    return found.unionByName(unread)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,7 +52,7 @@ _prepared: set[str] = set()
 def _package_archive() -> str:
     package = os.path.dirname(os.path.abspath(__file__))
     return shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "hallmark"),
+        os.path.join(tempfile.mkdtemp(prefix="run-"), "hallmark"),
         "zip",
         root_dir=os.path.dirname(package),
         base_dir=os.path.basename(package),
@@ -58,13 +60,26 @@ def _package_archive() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named."""
-    return spark.conf.get(CHECKPOINT_CONF, None) or _local_dir()
+    """The cluster's shared folder, as `spark.checkpoint.dir` or the context names it.
+
+    In local mode, where driver and executors are one process, a fresh folder is
+    enough; anywhere else a missing setting is an error, as each machine would write
+    to a folder of its own.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+    return _local_dir()
 
 
 @lru_cache(maxsize=1)
 def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

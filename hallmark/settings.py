@@ -29,10 +29,6 @@ NEEDED_BLOCKS = SYNC_BLOCKS + DATA_BLOCKS
 MAX_BYTE_ERRORS = PARITY_BYTES // 2
 PSNR_IDENTICAL = 99.0
 
-EMBED_LIMIT = 10
-PUBLIC_LIMIT = 60
-AUTHED_LIMIT = 600
-CHALLENGE_TTL_SECONDS = 300
 NONCE_TTL_SECONDS = 600
 
 # --- names that belong to a deployment ------------------------------------------
@@ -42,8 +38,3 @@ KEY_NAMESPACE = "hallmark/v1/"
 GENERATOR_NAME = "hallmark engine"
 GENERATOR_VERSION = "1.0.0"
 FALLBACK_SCHEME = "hallmark://"
-
-# --- size bounds ------------------------------------------------------------------
-# A side is broadcast only when its counted rows stay below this; each row of a
-# hash table is a hash and an id, so the bound is some tens of megabytes.
-BROADCAST_ROWS = 500_000

@@ -222,13 +222,14 @@ def cascade(spark):
 def test_cascade_from_pixels(spark, cascade):
     changed, ledger = cascade
     tiny = image_table(spark, [noise(9, 64, 64)]).withColumn("image_id", F.lit("tiny"))
+    tiny = tiny.unionByName(tiny.withColumns({"image_id": F.lit("null"), "height": F.lit(None).cast("int"), "width": F.lit(None).cast("int"), "data": F.lit(None).cast("binary")}))
     got = {r.image_id: r for r in match.extract_and_lookup(changed.unionByName(tiny), ledger).collect()}
     for n in "012":
         assert got[n].status == "MATCH_FOUND" and got[n].asset_id == f"asset-{n}"
         assert got[n].ledger_match.payload_match
     # its payload is read whole or, where damaged, not at all: nobody registered it
     assert got["3"].status in ("PAYLOAD_EXTRACTED", "NO_PAYLOAD")
-    assert got["tiny"].status == "INSUFFICIENT_CAPACITY"
+    assert got["tiny"].status == got["null"].status == "INVALID_IMAGE"
 
 
 def test_verify_from_pixels(cascade):
