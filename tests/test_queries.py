@@ -7,7 +7,9 @@ from compare import connect, difference
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from hallmark.plans import catalog
 
+NAMES = sorted(catalog.queries())
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
@@ -20,7 +22,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SMALL).toPandas()
     assert len(got)
