@@ -15,6 +15,7 @@ from hallmark.llm import (
     licenses,
     lm_scores,
     near_dups,
+    oracle,
     quotes,
     token_counts,
     toxicity,
@@ -107,4 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES)
+    return {
+        "op1_url_filters": oracle.URL_FILTERS.format(rules=rules),
+        "op6_exact_search": oracle.EXACT_SEARCH,
+        "op9_minhash_near_dups": oracle.NEAR_DUPS,
+    }
