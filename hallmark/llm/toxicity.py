@@ -78,7 +78,7 @@ class Vocabulary:
         self.heads = np.stack(heads, axis=1).astype(np.int64)
         owners_ = np.concatenate(owners)
         order = np.argsort(owners_, kind="stable")
-        self.grams = np.concatenate(grams).astype(np.int64)[order]
+        self.grams = np.concatenate(grams).astype(np.int32)[order]
         self.gram_counts = np.bincount(owners_, minlength=len(first))
 
     def windows(self, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,12 @@ class Network:
 
     def inputs(self, words: np.ndarray, grams: np.ndarray, counts: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Input vectors of words, from their buckets; every word has a gram."""
-        sums = np.add.reduceat(self.p["gram"][grams], np.cumsum(counts) - counts, axis=0) if len(words) else np.zeros((0, DIM), np.float32)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        sums = np.zeros((len(words), DIM), np.float32)
+        for k in range(0, len(words), 8192):  # in parts, to bound memory
+            own = ends[k : k + 8193]
+            part = self.p["gram"][grams[own[0] : own[-1]]]
+            sums[k : k + 8192] = np.add.reduceat(part, own[:-1] - own[0], axis=0)
         begins = self.p["head"][heads].mean(axis=1)
         return np.concatenate((self.p["word"][words], sums / counts[:, None].astype(np.float32), begins), axis=1)
 
@@ -304,21 +309,20 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = EPOC
 
 def _only_shared(net: Network, vocabulary: Vocabulary, at: np.ndarray, row: np.ndarray) -> None:
     """Clear the embeddings of what too few documents have: they could only be learned by heart."""
-    doc = np.repeat(row, at.shape[1])[at.ravel() >= 0]
-    pairs = np.unique(np.stack((doc, at.ravel()[at.ravel() >= 0])), axis=1)
-    gram_ends = np.cumsum(vocabulary.gram_counts)
-    counts = vocabulary.gram_counts[pairs[1]]
-    gram_at = np.arange(int(counts.sum())) + np.repeat(gram_ends[pairs[1]] - np.cumsum(counts), counts)
-    heads = vocabulary.heads.shape[1]
-    places = {
-        "word": (pairs[0], vocabulary.word[pairs[1]]),
-        "gram": (np.repeat(pairs[0], counts), vocabulary.grams[gram_at]),
-        "head": (np.repeat(pairs[0], heads), vocabulary.heads[pairs[1]].ravel()),
-    }
     least = max(LEAST_DOCS, (int(row.max()) + 1) // 200)
-    for name, (docs, buckets) in places.items():
-        met = np.unique(docs * BUCKETS + buckets) % BUCKETS
-        net.p[name][np.bincount(met, minlength=BUCKETS) < least] = 0
+    docs = {name: np.zeros(BUCKETS, np.int64) for name in ("word", "gram", "head")}
+    ends = np.cumsum(vocabulary.gram_counts)
+    edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        words = np.unique(at[a:b])
+        words = words[words >= 0]
+        counts = vocabulary.gram_counts[words]
+        grams = np.arange(int(counts.sum())) + np.repeat(ends[words] - np.cumsum(counts), counts)
+        docs["word"][vocabulary.word[words]] += 1
+        docs["gram"][np.unique(vocabulary.grams[grams])] += 1
+        docs["head"][np.unique(vocabulary.heads[words])] += 1
+    for name, met in docs.items():
+        net.p[name][met < least] = 0
 
 
 def _all_logits(net: Network, vocabulary: Vocabulary, at: np.ndarray) -> np.ndarray:
