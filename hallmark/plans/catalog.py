@@ -717,12 +717,13 @@ def challenge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_named
 def commit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("ok")
-    value = F.when(ok % 10 == 0, F.lit("-1")).otherwise(ok.cast("string"))
-    random = F.when(ok % 10 == 1, F.lit("0")).otherwise((ok + 1).cast("string"))
-    made = commitments.commit_batch(
+    at = (ok % len(derived.OPENINGS)).cast("int")
+    values, randoms = (F.array(*[F.lit(str(o[n])) for o in derived.OPENINGS]) for n in (0, 1))
+    value = F.when(ok % 10 == 0, F.lit("-1")).otherwise(F.get(values, at))
+    random = F.when(ok % 10 == 1, F.lit("0")).otherwise(F.get(randoms, at))
+    return commitments.commit_batch(
         derived.ledger(spark, sf_dir).select("ok"), MASTER, value, random
     )
-    return made.drop("zkp_commitment_hex")
 
 
 def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -806,7 +807,8 @@ def _staged(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
 def replay_first_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _staged(spark, derived.challenge_log(spark, sf_dir), "challenges")
     parsed = audit.parse_challenges(log).filter(F.col("nonce").isNotNull())
-    return _drained(spark, replay_stream(parsed), "replay").select("account_id", "nonce")
+    passed = _drained(spark, replay_stream(parsed), "replay")
+    return passed.groupBy("account_id", "nonce").agg(F.count("*").alias("passed"))
 
 
 @_named

@@ -26,6 +26,8 @@ from ..schema import LEDGER_COLUMNS
 from ..settings import CODEWORD_BYTES, HASHES
 
 MASTER = b"fixture_only_master_key_32_bytes"
+#: Openings (value, randomness) that commitments are made of, small and large.
+OPENINGS = tuple((3 ** (31 * k) - 1, 5 ** (21 * k + 1)) for k in range(37))
 FLIPPED_BITS = 13
 DAMAGED_BYTES = 20
 BLOCKS_PER_IMAGE = 128

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import re
 
-from ..functions import derive_subkey
-from ..operators.codewords import parity_table
-from .derived import MASTER
+from .derived import MASTER, OPENINGS
 
 
 def _pads(key: bytes) -> tuple[str, str]:
@@ -44,20 +44,68 @@ def _hamming(a: str, b: str) -> str:
     return f"bit_count(xor({_u64(a)}, {_u64(b)}))::INT"
 
 
-_PAYLOAD_KEY = derive_subkey(MASTER, "watermark/payload/v1")
-_CHALLENGE_KEY = derive_subkey(MASTER, "challenge")
+def _key(purpose: str, size: int = 32) -> bytes:
+    """Sub-key by its definition: HMAC of the purpose, then of it with counters behind."""
+    message = b"hallmark/v1/" + purpose.encode()
+    key, counter = hmac.digest(MASTER, message, "sha256"), 0
+    while len(key) < size:
+        counter += 1
+        key += hmac.digest(MASTER, message + counter.to_bytes(4, "big"), "sha256")
+    return key[:size]
+
+
+def _parity_words(position: int, bit: int) -> list[int]:
+    """Parity of the payload with one bit set, as four words: long division by the
+    polynomial with roots 1, a, ..., a^31 over GF(256), by logarithms."""
+    exp = [1]
+    while len(exp) < 255:
+        exp.append(exp[-1] << 1 ^ (0x11D if exp[-1] & 0x80 else 0))
+    log = {x: k for k, x in enumerate(exp)}
+
+    def times(a: int, b: int) -> int:
+        return exp[(log[a] + log[b]) % 255] if a and b else 0
+
+    divisor = [1]
+    for k in range(32):
+        divisor = [a ^ times(b, exp[k]) for a, b in zip([*divisor, 0], [0, *divisor])]
+    rest = [0] * 48
+    rest[position] = 0x80 >> bit
+    for at in range(16):
+        lead = rest[at]
+        for k, d in enumerate(divisor):
+            rest[at + k] ^= times(lead, d)
+    return [int.from_bytes(bytes(rest[16 + 8 * w : 24 + 8 * w]), "big") for w in range(4)]
+
+
+def _commitments() -> str:
+    """(k, value, randomness, commitment) of the openings, by plain powers."""
+    prime = int(
+        # fixed value: RFC 3526 group 14
+        "FFFFFFFFFFFFFFFFC90FDAA22168C234C4C6628B80DC1CD129024E088A67CC74020BBEA63B139B22"
+        "514A08798E3404DDEF9519B3CD3A431B302B0A6DF25F14374FE1356D6D51C245E485B576625E7EC6"
+        "F44C42E9A637ED6B0BFF5CB6F406B7EDEE386BFB5A899FA5AE9F24117C4B1FE649286651ECE45B3D"
+        "C2007CB8A163BF0598DA48361C55D39A69163FA8FD24CF5F83655D23DCA3AD961C62F356208552BB"
+        "9ED529077096966D670C354E4ABC9804F1746C08CA18217C32905E462E36CE3BE39E772C180E8603"
+        "9B2783A2EC07A28FB5C55DF06F4C52C9DE2BCBF6955817183995497CEA956AE515D2261898FA0510"
+        "15728E5A8AACAA68FFFFFFFFFFFFFFFF",
+        16,
+    )
+    order = (prime - 1) // 2
+    secret = int.from_bytes(_key("pedersen/h/v1", 64), "big") % order or 1
+    h = pow(2, secret, prime)
+    rows = [(k, v, r, pow(2, v, prime) * pow(h, r, prime) % prime) for k, (v, r) in enumerate(OPENINGS)]
+    return ",".join(f"({k},'{v}','{r}','{c:x}')" for k, v, r, c in rows)
+
+
+_PAYLOAD_KEY = _key("watermark/payload/v1")
+_CHALLENGE_KEY = _key("challenge")
 _ISO = "%Y-%m-%dT%H:%M:%S.%f"
 
 # Parity as a linear map over bits: for each payload bit, the four words it flips.
 _PARITY_ROWS = ",".join(
     "({},{},{},{},{})".format(
         8 * position + bit,
-        *[
-            int.from_bytes(
-                parity_table()[position, 0x80 >> bit, 8 * w : 8 * w + 8].tobytes(), "big"
-            )
-            for w in range(4)
-        ],
+        *_parity_words(position, bit),
     )
     for position in range(16)
     for bit in range(8)
@@ -205,7 +253,7 @@ def _assemble(body: str) -> str:
     visit(body)
     tables = [f"{n} as materialized ({' '.join(_CTES[n].split())})" for n in needed]
     if re.match(r"\w+ as \(", body):  # it brings tables of its own
-        return "with " + ", ".join([*tables, body])
+        return "with recursive " + ", ".join([*tables, body])
     return ("with " + ", ".join(tables) + " " if tables else "") + body
 
 
@@ -546,10 +594,13 @@ def oracle_sql() -> dict[str, str]:
               coalesce(case when event_id%101<>0 then count(*) over
                 (partition by account_id, nonce, event_id%101=0) end, -1) uses
             from challenges)""",
-        "commit_batch": """
+        "commit_batch": f"""
+          made as (select * from (values {_commitments()}) t(k, v, r, c))
           select ok, case ok%10 when 0 then 'VALUE_RANGE' when 1 then 'RANDOMNESS_RANGE' end commitment_error,
-            case when ok%10>1 then ok::VARCHAR end zkp_opening_value,
-            case when ok%10>1 then (ok+1)::VARCHAR end zkp_opening_randomness from ledger""",
+            case when ok%10>1 then v end zkp_opening_value,
+            case when ok%10>1 then r end zkp_opening_randomness,
+            case when ok%10>1 then c end zkp_commitment_hex
+          from ledger join made on ok%{len(OPENINGS)}=k""",
         "verify_commitments": "select ok, ok%7<>0 and ok%7<>2 opening_valid from ledger",
         "verify_commitments_grouped": """
           select device_signature, count(*) n_rows,
@@ -563,7 +614,15 @@ def oracle_sql() -> dict[str, str]:
                (select max(ts) m from events)
           where window_start + interval 1 hour <= m - interval 1 minute""",
         "replay_first_uses": """
-          select distinct account_id, nonce from challenges where event_id%101<>0""",
+          uses as (select account_id, nonce, epoch_us(seen_at) us,
+              row_number() over (partition by account_id, nonce order by seen_at, event_id) k
+            from challenges where event_id%101<>0),
+          walk as (select account_id, nonce, k, us as last, true fine from uses where k=1
+            union all
+            select u.account_id, u.nonce, u.k,
+              case when u.us-w.last>=600000000 then u.us else w.last end, u.us-w.last>=600000000
+            from walk w join uses u on u.account_id=w.account_id and u.nonce=w.nonce and u.k=w.k+1)
+          select account_id, nonce, count(*) passed from walk where fine group by 1, 2""",
         "registered_claims": f"""
           select {_uuid("digest")} asset_id, payload_hex, chain_of_custody_hash
           from (select *, sha256(concat_ws('|', payload_hex, phash, dhash, ahash, whash, account_id)) digest

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.match import lookup
 from ..settings import KEY_NAMESPACE, NONCE_TTL_SECONDS
@@ -89,7 +92,48 @@ def rate_limit_stream(
 def replay_stream(
     challenges: DataFrame, ttl_seconds: int = NONCE_TTL_SECONDS
 ) -> DataFrame:
-    """First use of each (account, nonce) passes; later ones within the TTL drop."""
-    return challenges.withWatermark(
-        "seen_at", f"{ttl_seconds} seconds"
-    ).dropDuplicatesWithinWatermark(["account_id", "nonce"])
+    """Uses of each (account, nonce) that no use within the TTL before them forbids.
+
+    The time of the last use that passed decides, not the batch that a use comes in: a
+    use passes once the TTL is over. State is dropped when the watermark, one TTL late,
+    is past that time. Uses that arrive out of order are compared with it both ways.
+    """
+    ttl = ttl_seconds * 1_000_000
+    columns = challenges.columns
+    whole = StructType([StructField("use", challenges.schema)])
+
+    def passing(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        uses = pd.concat(list(frames)).sort_values("at", kind="stable")
+        last = state.get[0] if state.exists else None
+        fine = []
+        for at in uses["at"]:
+            fine.append(last is None or abs(at - last) >= ttl)
+            if fine[-1]:
+                last = at if last is None else max(at, last)
+        state.update((int(last),))
+        state.setTimeoutTimestamp(
+            max((int(last) + ttl) // 1000, state.getCurrentWatermarkMs()) + 1
+        )
+        yield uses.loc[fine, ["use"]]
+
+    return (
+        challenges.withWatermark("seen_at", f"{ttl_seconds} seconds")
+        .select(
+            "account_id",
+            "nonce",
+            "seen_at",
+            F.unix_micros(F.col("seen_at").cast("timestamp")).alias("at"),
+            F.struct(*columns).alias("use"),
+        )
+        .filter("at IS NOT NULL")
+        .groupBy("account_id", "nonce")
+        .applyInPandasWithState(
+            passing, whole, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+        )
+        .select("use.*")
+    )

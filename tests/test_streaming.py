@@ -65,6 +65,17 @@ def test_nonces_pass_once(spark, tmp_path):
     assert sorted((r.account_id, r.nonce) for r in got.collect()) == [("a", "n1"), ("a", "n2"), ("b", "n1")]
 
 
+def test_the_ttl_decides_whatever_the_batches(spark, tmp_path):
+    times = [(1000, "a"), (1500, "a"), (1599, "a"), (1600, "a"), (9000, "a"), (9100, "b"), (9300, "a"), (9301, None), (9700, "a")]
+    rows = spark.createDataFrame([(a, "n", s, None) for s, a in times], "account_id string, nonce string, s bigint, empty bigint")
+    rows = rows.withColumn("seen_at", F.timestamp_seconds("s"))
+    for name, step in (("whole", 100), ("pairs", 2), ("single", 1)):
+        frames = [rows.filter(F.col("s").isin([s for s, _ in times[k : k + step]])) for k in range(0, len(times), step)]
+        got = drained(streaming.replay_stream(arrivals(spark, str(tmp_path / name), frames)), f"ttl_{name}")
+        assert sorted(r.s for r in got.collect()) == [1000, 1600, 9000, 9100, 9301, 9700]
+        assert got.schema.names == rows.schema.names and got.filter("empty IS NOT NULL").isEmpty()
+
+
 def test_stream_matches_like_the_batch(spark, tmp_path):
     from hallmark.operators.match import lookup
 
