@@ -17,6 +17,7 @@ normalisation and a dummy prefix; their path is given.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from hallmark.llm import words as W
 from hallmark.llm.tables import settled
 
 #: Units, and pairs of tokens, that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 SPACE = "▁"
 
 
@@ -50,16 +51,20 @@ class PrefixCounter:
         # Only ordinary pieces are merged to; bytes and control pieces never are.
         self.rank = {p.piece: -p.score for p in model.pieces if p.type == 1}
         longer = [t for t in self.rank if len(t) > 1]
-        self.longest = max(map(len, longer), default=1)
         if any(SPACE in t.lstrip(SPACE) for t in longer):
             raise ValueError("tokens must not reach over the end of a word")
         joined = set("".join(longer))
         alone = "".join(sorted({"\n", "\r", "\t"} - joined))
         cut = f"[{re.escape(alone)}]|" if alone else ""
         self.unit = re.compile(f"{cut}{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+")
-        self.last_char = {t: t[-1] for t in longer}
-        self.fit: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        # How long tokens are that end in two given characters, the longest first.
+        sizes: dict[str, set[int]] = {}
+        for t in longer:
+            sizes.setdefault(t[-2:], set()).add(len(t))
+        self.sizes = {tail: sorted(found, reverse=True) for tail, found in sizes.items()}
+        self.fit: dict[str, dict[str, bool]] = {}
+        self.fits_known = 0
+        self.known: dict[str, array[int]] = {}
         self.total: dict[str, int] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -76,36 +81,36 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        fit = self.fit.get(key)
-        if fit is None:
-            if len(self.fit) > REMEMBERED:
-                self.fit.clear()
-            fit = self.fit[key] = self.merged(a + b) == ([a, b] if a else [b])
+        if self.fits_known > REMEMBERED:
+            self.fit.clear()
+            self.fits_known = 0
+        fit = self.fit.setdefault(b, {})[a] = self.merged(a + b) == ([a, b] if a else [b])
+        self.fits_known += 1
         return fit
 
-    def prefixes(self, unit: str) -> np.ndarray:
+    def prefixes(self, unit: str) -> array[int]:
         """Token count of each prefix of a unit, from one character to all."""
-        rank, longest, known, fit = self.rank, self.longest, self.fit, self.fits
+        rank, sizes, none = self.rank, self.sizes, ()
         tokens = [""]
         counts = [0]
         for end in range(1, len(unit) + 1):
-            for begin in range(max(0, end - longest), end - 1):
-                token = unit[begin:end]
+            for size in sizes.get(unit[end - 2 : end], none) if end > 1 else none:
+                token = unit[end - size : end] if size <= end else ""
                 if token in rank:
-                    before = tokens[begin]
-                    fine = known.get((before, token))
+                    before = tokens[end - size]
+                    met = self.fit.get(token)
+                    fine = met.get(before) if met is not None else None
                     if fine is None:
-                        fine = fit(before, token)
+                        fine = self.fits(before, token)
                     if fine:
                         tokens.append(token)
-                        counts.append(counts[begin] + 1)
+                        counts.append(counts[end - size] + 1)
                         break
             else:
                 char = unit[end - 1]
                 tokens.append(char)
                 counts.append(counts[-1] + (1 if char in rank else len(char.encode())))
-        return np.array(counts[1:], np.int32)
+        return array("i", counts[1:])
 
     def units(self, text: str) -> list[str]:
         """Units of a text behind its dummy prefix; their counts add up."""
@@ -119,9 +124,8 @@ class PrefixCounter:
                 self.known.clear()
                 fresh = set(units)
             for unit in fresh:
-                counts = self.prefixes(unit)
-                self.known[unit] = counts
-                self.total[unit] = int(counts[-1])
+                counts = self.known[unit] = self.prefixes(unit)
+                self.total[unit] = counts[-1]
         return units
 
     def count(self, text: str) -> int:
@@ -132,7 +136,7 @@ class PrefixCounter:
         units = self.units(text)
         if not units:
             return np.zeros(1, np.int32)
-        parts = [self.known[u] for u in units]
+        parts = [np.frombuffer(self.known[u], np.int32) for u in units]
         totals = np.array([p[-1] for p in parts], np.int32)
         before = np.cumsum(totals) - totals
         flat = np.concatenate(parts) + np.repeat(before, [len(p) for p in parts])
