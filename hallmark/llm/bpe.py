@@ -28,7 +28,7 @@ from hallmark.llm import words as W
 from hallmark.llm.tables import settled
 
 #: Distinct words that a worker remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 DECODED_ROWS = 512
 
 # --- fixed values: the pieces that the vocabulary file names --------------------------
@@ -245,6 +245,25 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded) for each row: `encode` and `decode` in one pass, so that a
+    task needs one Python worker with one copy of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(path)
+        for batch in batches:
+            for first, texts in W.slices(batch.column(1)):
+                flat, bounds = model.encode(texts.to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), ids, model.decode(ids)], names=["doc_id", "ids", "decoded"]
+                )
+
+    settled(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row; no ids give an empty text, null ids too."""
 

@@ -43,8 +43,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

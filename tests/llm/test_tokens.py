@@ -34,6 +34,8 @@ def test_bpe_equals_the_library_both_ways(spark):
     for r in bpe.decode(bpe.encode(docs, WORD), WORD).collect():
         ids = model.encode(rows[r.doc_id][1] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == model.decode(ids, skip_special_tokens=False)
+    at_once = bpe.round_trip(docs, WORD)
+    assert at_once.exceptAll(bpe.decode(bpe.encode(docs, WORD), WORD)).isEmpty() and at_once.count() == len(rows)
     assert bpe.encode(docs.where("false"), WORD).count() == 0
 
 
