@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact comparison.
 
 An item of L words is compared with every window of L words of every document, by their
-multisets of word shingles; both sides have as many. A window can only be similar if
-enough of its shingles occur in some item, which a table of the items' shingles tells
-without loss. The windows left get 128-bit SimHash fingerprints from running sums.
+multisets of word shingles; both sides have as many. A document of fewer words is one
+window as a whole, compared exactly with all longer items by a table of which shingles
+stand in which item. A window can only be similar if enough of its shingles occur in
+some item, which a table of the items' shingles tells without loss. The windows left get 128-bit SimHash fingerprints from running sums.
 Items are found by multi-index Hamming blocks: fingerprints within the radius agree in
 one of 16 bytes up to radius/16 bits, so looking up all bytes near a block's misses
 none. What is found is confirmed by exact weighted similarity of the multisets.
@@ -84,6 +85,26 @@ class ItemIndex:
             s: W.distinct(np.concatenate([i.shingles for i in self.items if i.size == s])) for s in self.sizes
         }
         self.slots = {s: _slots(x) for s, x in self.known.items()}
+        self.spans = np.array([item.words - item.size + 1 for item in self.items], np.int64)
+        self.postings = {s: self._postings(s) for s in self.sizes}
+
+    def _postings(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles, ascending, with the item that each stands in and how often."""
+        own = [k for k, item in enumerate(self.items) if item.size == size]
+        shingles = np.concatenate([self.items[k].shingles for k in own])
+        order = np.argsort(shingles, kind="stable")
+        item = np.repeat(np.array(own), [len(self.items[k].shingles) for k in own])
+        return shingles[order], item[order], np.concatenate([self.items[k].counts for k in own])[order]
+
+    def shared(self, flat: np.ndarray, size: int) -> np.ndarray:
+        """Shared weight of a text's shingles and each item, exactly."""
+        shingles, item, counts = self.postings[size]
+        values, often = np.unique(flat, return_counts=True)
+        first = np.searchsorted(shingles, values)
+        number = np.searchsorted(shingles, values, "right") - first
+        at = np.arange(int(number.sum())) + np.repeat(first - np.cumsum(number) + number, number)
+        both = np.minimum(counts[at], np.repeat(often, number))
+        return np.bincount(item[at], both, len(self.items)).astype(np.int64)
 
     def holds(self, shingles: np.ndarray, size: int) -> np.ndarray:
         """Which shingles occur in some item."""
@@ -130,7 +151,7 @@ def matches(index: ItemIndex, texts: pa.Array, similarity: tuple[int, int] = SIM
     """(row, item_id, start, words, windows, similarity) of each text and similar item.
 
     `start` is the first word of the most similar window, the earliest of equal ones;
-    `windows` how many windows are similar.
+    `words` how many it has; `windows` how many windows are similar.
     """
     many, of = similarity
     words = W.Words(texts)
@@ -154,6 +175,13 @@ def matches(index: ItemIndex, texts: pa.Array, similarity: tuple[int, int] = SIM
 def _in_text(index: ItemIndex, size: int, row: int, flat: np.ndarray, hits: np.ndarray, many: int, of: int) -> list[tuple[int, int, int, int, int, float]]:
     found = []
     total = np.concatenate(([0], np.cumsum(hits)))
+    # Longer items meet the whole text: shared / (span + text - shared) must reach the similarity.
+    least = min((length - width + 1 for length, width in index.by_words if width == size and length - width + 1 > len(flat)), default=0)
+    if least and (many + of) * int(total[-1]) >= many * (least + len(flat)):
+        both = index.shared(flat, size)
+        joint = index.spans + len(flat) - both
+        for k in np.flatnonzero((both > 0) & (index.spans > len(flat)) & (of * both >= many * joint)).tolist():
+            found.append((row, index.items[k].item_id, 0, len(flat) + size - 1, 1, int(both[k]) / int(joint[k])))
     for (length, width), among in index.by_words.items():
         span = length - width + 1
         if width != size or span > len(flat):
@@ -199,7 +227,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similar
     """(doc_id, item_id, start, n_words, n_windows, similarity): items that documents hold.
 
     One row for each row of `docs` and item of which it has a similar window: its first
-    word (from 0), its words, how many windows are similar, and the best similarity.
+    word (from 0), its words, how many windows are similar, and the best similarity. A
+    text of fewer words than an item is one window as a whole.
     Texts and items that are null or have no words match nothing; items of fewer words
     than a shingle are matched as whole sequences; repeated documents and items are
     reported as often. Only doc_id, item_id and the texts are read.

@@ -70,6 +70,43 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.without_items(table, bench.where("false")).count() == len(docs)
 
 
+def test_texts_shorter_than_an_item_equal_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.choice((4, 5, 8, 9, 12, 30, 51))))) for k in range(40)]
+    items += [(50, "same " * 20), (51, "a b c d e f g h i " + "x " * 30), (52, items[0][1])]
+    docs = [(0, " ".join(dict(items)[51].split()[:-3])), (1, "same " * 17), (2, "same " * 12), (3, "same")]
+    for k, (_, item) in enumerate(items):
+        for cut in (1, 2, 4, 9):
+            own = item.split()
+            own = own[r.randint(0, cut) :][: max(0, len(own) - cut)]
+            if own and r.random() < 0.3:
+                own[r.randrange(len(own))] = "other"
+            docs.append((100 + 10 * k + cut, " ".join(own)))
+    right = {}
+    for d, text in docs:
+        own = text.split()
+        for i, item in items:
+            want = item.split()
+            size, length = min(5, len(want)), min(len(own), len(want))
+            a = Counter(tuple(want[k : k + size]) for k in range(len(want) - size + 1))
+            values = []
+            for s in range(len(own) - length + 1):
+                b = Counter(tuple(own[k : k + size]) for k in range(s, s + length - size + 1))
+                both, joint = sum((a & b).values()), sum((a | b).values())
+                if 100 * both >= 80 * joint:
+                    values.append((both / joint, -s))
+            if values:
+                right[d, i] = (-max(values)[1], length, len(values), max(values)[0])
+    assert sum(n < len(dict(items)[i].split()) for (_, i), (_, n, _, _) in right.items()) > 20
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.start, x.n_words, x.n_windows, x.similarity) for x in decontaminate.contaminated(table, bench).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in right.items()}
+    assert all(math.isclose(got[k][3], right[k][3]) for k in right)
+    assert {x.doc_id for x in decontaminate.without_items(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in right}
+
+
 def test_item_blocks_are_bounded_and_whole(spark):
     bench = spark.createDataFrame([(k, "ab" * k) for k in range(20)], "item_id long, text string")
     blocks = list(decontaminate.item_blocks(bench, 50))
