@@ -94,6 +94,30 @@ def test_quotes_make_threads(spark):
     assert quotes.reply_ordered(table.where("false")).count() == 0
 
 
+def test_quotes_of_every_level_and_length_are_linked(spark):
+    rows = [
+        (1, 0, "user", "How do I sort rows?"), (1, 1, "assistant", "> How do I sort rows?\nBy a key."),
+        (1, 2, "user", ">> How do I sort rows?\nSo do I."),  # level 2 alone
+        (1, 3, "user", "> not kept here\n>> By a key.\n>>> How do I sort rows?\nWhich?"),  # the nearest known level
+        (1, 4, "user", "> By a key.\nAnd\n> How do I sort rows?\n>> How do I sort rows?"),  # several originals
+        (2, 0, "user", "Yes"), (2, 1, "user", "好的"), (2, 2, "user", "> Yes\nfine"), (2, 3, "user", "> 好的\n谢谢"),
+        (2, 4, "user", "> fine\n> no such line\nok\nno"), (2, 5, "user", "> ok\n\nright"), (2, 6, "user", "> ok\n> no\nwell"),
+        (2, 7, "user", "> right\n> ok\n> Yes"), (3, 0, "user", "> Yes\nelsewhere"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(table).collect()}
+    assert {k: r.reply_to for k, r in got.items()} == {
+        (1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): 0, (2, 0): None, (2, 1): None, (2, 2): 0, (2, 3): 1,
+        (2, 4): 2, (2, 5): 4, (2, 6): 4, (2, 7): 5, (3, 0): None,
+    }
+    assert {r.root for k, r in got.items() if k[0] == 1} == {0} and got[1, 3].depth == 2
+    links = {k: [(x.passage, x.level, x.original) for x in r.links] for k, r in got.items()}
+    assert links[1, 2] == [(1, 2, 0)] and links[1, 3] == [(2, 2, 1), (3, 3, 0)]
+    assert links[1, 4] == [(1, 1, 1), (2, 1, 0), (3, 2, 0)] and links[1, 0] == links[3, 0] == []
+    order = [r.turn for r in sorted((r for r in got.values() if r.conv_id == 1), key=lambda r: r.position)]
+    assert order == [0, 1, 2, 3, 4]
+
+
 def test_long_reply_chains(spark):
     r = random.Random(1)
     rows = [(1, 0, "user", "start here 0")] + [(1, k, "user", f"> start here {k - 1}\nstart here {k}") for k in range(1, 70)]
