@@ -157,3 +157,28 @@ def test_top_folder_gives_its_licence(spark):
     rows = [(1, "LICENSE", "Released under the MIT License."), (2, "deep/er/file", "x"), (3, "file", "")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got[2].license == got[3].license == "MIT" and got[2].inherited_from == ""
+
+
+def test_a_header_scores_the_same_in_corpora_of_any_size(spark):
+    def corpus(files):
+        common = [(k, f"x/{k}.py", f"the code is good\nunder work {'software' if k % 2 else 'released'}") for k in range(files)]
+        own = [(k, f"y/{k}/LICENSE", "Released under the MIT License software") for k in range(10**6, 10**6 + files // 20)]
+        return common + own + [(-1, "y/rare.py", "Released under the MIT License zyxwvut abcdefgh")]
+
+    scores = {}
+    for files in (100, 1000, 20_000):
+        rows = corpus(files)
+        for head in (licenses.HEAD_TERMS, 2):  # terms behind the head are joined
+            old, licenses.HEAD_TERMS = licenses.HEAD_TERMS, head
+            got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+            licenses.HEAD_TERMS = old
+            scores[files, head] = got[10**6].similarity
+            assert got[10**6].own_license == "MIT"
+            df = Counter(t for _, _, x in rows for t in set(re.findall("[0-9a-z]+", x.lower())))
+            vocabulary = {t for _, x in licenses.TEMPLATES for t in re.findall("[0-9a-z]+", x.lower())} | set(df)
+            idf = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in vocabulary}
+            for d, text in ((10**6, rows[files][2]), (-1, rows[-1][2])):
+                right = max(cosine_of(text, t, idf, 0.0) for _, t in licenses.TEMPLATES)
+                assert (got[d].own_license is not None) == (right >= licenses.THRESHOLD)
+                assert got[d].own_license is None or math.isclose(got[d].similarity, right, abs_tol=1e-8)
+    assert max(scores.values()) - min(scores.values()) < 0.02
