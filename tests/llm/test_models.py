@@ -111,6 +111,49 @@ def test_language_model_counts_and_scores(spark):
     assert lm_scores.scored(docs.where("false"), BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_language_model_learns_from_texts_that_no_sample_holds(spark):
+    subwords = lm_scores.Subwords(BYTE, public_tokenizers.PATTERN)
+    long = " ".join(f"море берег волна {k % 7} песок" for k in range(1000))  # over SAMPLE_CHARS
+    rows = [(d, t) for d, t, _ in corpus(120)] + [(10**6, long), (10**6 + 1, long + " камень")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    near, often = lm_scores.neighbours(docs, BYTE, public_tokenizers.PATTERN, subwords.end + 1)
+    ids, bounds, _, _, _ = lm_scores.encoded([t for _, t in rows], subwords)
+    whole = np.zeros((subwords.end + 1) * (lm_scores.BESIDE + 1), np.int64)
+    lm_scores.add_neighbours(whole, ids, bounds)
+    whole = whole.reshape(subwords.end + 1, -1)
+    assert (near == whole[:, :-1]).all() and (often == whole[:, -1]).all() and (often == np.bincount(ids, minlength=len(often))).all()
+    classes, inner = lm_scores.classes_of(near, often, subwords.begins)
+    model = lm_scores.Attention(subwords.end + 1, classes, inner, np.zeros((1, 1), np.float32))
+    begun = model.p["id"].copy()
+    long_ids, long_bounds, _, _, _ = lm_scores.encoded([long], subwords)
+    seen, goal = model.blocks(long_ids, long_bounds)
+    loss = lambda: -model.forward(seen)[goal >= 0][np.arange(len(long_ids)), classes[goal[goal >= 0]]].mean()
+    before = loss()
+    lm_scores.trained(docs, model, BYTE, public_tokenizers.PATTERN)
+    own = np.unique([x for w in ("море", "берег", "волна", "песок") for x in subwords([w.encode()])[0]])
+    rare = {0, lm_scores.BEGIN_CLASSES + 1}
+    assert not rare & set(classes[own].tolist())
+    assert (model.p["id"][own] != begun[own]).any(axis=1).all() and loss() < before
+
+
+def test_mixture_does_not_depend_on_the_head(spark):
+    rows = [(d, t) for d, t, _ in corpus(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    subwords = lm_scores.Subwords(BYTE, public_tokenizers.PATTERN)
+    texts = [t for _, t in rows]
+    ids, bounds, lengths, words, at = lm_scores.encoded(texts, subwords)
+    counts = lm_scores.word_counts(docs)
+    c, total = Counter(words[k] for k in at), float(len(at))
+    model = lm_scores.Attention(subwords.end + 1, np.zeros(subwords.end + 1, np.int64), np.array([False]), np.zeros((1, 1)))
+    model.words_logs = lambda ids, bounds, lengths: np.full(len(lengths), -5.0)
+    lm_scores.set_mixture(model, texts, subwords, counts, total)
+    kept = [w for t in texts[9::10] for w in [*lm_scores.split_words(t), b""]]
+    own, share = np.log([(c[w] + 0.5) / total for w in kept]), 0.5
+    for _ in range(30):
+        share = float(np.clip(np.mean(1 / (1 + np.exp(np.log(1 - share) + own - np.log(share) + 5.0))), 0.01, 0.99))
+    assert math.isclose(model.own_share, share, rel_tol=1e-9)
+
+
 def test_attention_is_causal_and_scores_each_id_once():
     r = np.random.default_rng(2)
     classes = np.concatenate((r.integers(0, 5, 39), [5]))
