@@ -100,3 +100,31 @@ reached as (
 named as (select d doc_id, min(r) component_id from reached group by 1)
 select s.doc_id, len(s)::bigint n_shingles, component_id, s.doc_id = component_id kept from s join named using (doc_id)
 """
+
+COLLOCATIONS = r"""
+with pieces as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+split as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') w from pieces),
+runs as (
+  select lang, 1 k, unnest(w) phrase from split
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from split
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from split),
+f as materialized (select lang, k, phrase, count(*) c from runs group by all),
+parts as materialized (select {'lang': lang, 'phrase': phrase} part, c from f where k < 3 and c >= 10),
+totals as (select lang, sum(c)::bigint n from f where k = 1 group by 1),
+candidates as (select lang, k, phrase, c a, string_split(phrase, ' ') w from f where k > 1 and c >= 10),
+cut as materialized (select lang, phrase, a, cut, {'lang': lang, 'phrase': array_to_string(w[1:cut], ' ')} part_l,
+    {'lang': lang, 'phrase': array_to_string(w[cut + 1:], ' ')} part_r
+  from (select *, unnest(range(1, k)) cut from candidates)),
+cuts as (select lang, phrase, a, cut, l.c l, r.c r, ((1000000::hugeint * a * a) // (l.c::hugeint * r.c))::bigint score
+  from cut join parts l on part_l = l.part join parts r on part_r = r.part),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select lang, phrase, max(a) a from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase from candidates where k = 3)
+  group by 1, 2)
+select b.lang, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase)::bigint rank,
+  b.phrase, b.a, b.l, b.r, n, score
+from best b join totals using (lang) left join longer x on x.lang = b.lang and x.phrase = b.phrase
+where x.a is null or 100 * x.a < 50 * b.a
+qualify rank <= 2000
+"""

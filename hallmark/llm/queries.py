@@ -16,6 +16,7 @@ from hallmark.llm import (
     lm_scores,
     near_dups,
     oracle,
+    phrases,
     quotes,
     token_counts,
     toxicity,
@@ -98,6 +99,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: query
@@ -112,4 +117,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": oracle.URL_FILTERS.format(rules=rules),
         "op6_exact_search": oracle.EXACT_SEARCH,
         "op9_minhash_near_dups": oracle.NEAR_DUPS,
+        "op11_phrase_mining": oracle.COLLOCATIONS,
     }
