@@ -19,14 +19,16 @@ from hallmark.llm import (
     phrases,
     quotes,
     token_counts,
+    token_files,
     toxicity,
     url_filters,
 )
-from hallmark.llm.tables import table
+from hallmark.llm.tables import folder, table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+FILE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 URL_RULES = (
     ("org/", "allow"),
@@ -103,6 +105,12 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(FILE_BPE), path)
+    return token_files.summed(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: query

@@ -18,11 +18,16 @@ def settled(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+
+
 def step(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: a lineage cut that survives
     the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
