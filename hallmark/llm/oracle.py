@@ -128,3 +128,43 @@ from best b join totals using (lang) left join longer x on x.lang = b.lang and x
 where x.a is null or 100 * x.a < 50 * b.a
 qualify rank <= 2000
 """
+
+PREFIX_TRIE = r"""
+with recursive bits as (
+  select n, n::bigint v, 0 i from range(256) t(n)
+  union all select n, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, i + 1 from bits where i < 8),
+crc_table as (select list(v order by n) of from bits where i = 8),
+ordered as (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') text,
+    row_number() over (partition by conv_id order by turn nulls first,
+      substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) - 1 pos
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 100 base, xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)),
+      lambda a, b: xor(of[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 h
+  from (select distinct conv_id from ordered), crc_table),
+rebuilt as (
+  select c.conv_id, 0 own, pos, role, text from convs c join ordered o on o.conv_id = base and pos < h
+  union all select conv_id, 1, pos, role, text from convs join ordered using (conv_id) where pos >= h),
+numbered as (
+  select conv_id, row_number() over (partition by conv_id order by own, pos) depth, text,
+    md5(length(role) || ':' || role || text) id from rebuilt),
+prefixes as (
+  select conv_id, depth, length(text) size, string_agg(id, '') over (partition by conv_id order by depth) node from numbered
+  union all select conv_id, 0, 0, '' from convs),
+deepest as (select conv_id, max(depth) depth from prefixes group by 1),
+nodes as (
+  select node, p.depth, min(conv_id) conv_id, count(*) n_convs, any_value(size) size,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (p.depth = d.depth), '')) ends
+  from prefixes p join deepest d using (conv_id) group by 1, 2),
+placed as (select *, left(node, length(node) - 32) up from nodes),
+children as (select up, count(*) n from placed where depth > 0 group by 1),
+below as (
+  select left(x.node, 32 * d)  node, sum((n_convs - 1) * size) saved, count(*) filter (c.up is null) leaves
+  from (select *, unnest(range(0, depth + 1)) d from nodes) x left join children c on c.up = x.node group by 1)
+select t.conv_id, t.depth, p.conv_id parent_conv_id, t.n_convs, coalesce(c.n, 0) n_children, leaves n_leaves,
+  saved::bigint saved_tokens, t.ends ends_sha256
+from placed t join below using (node) left join children c on c.up = t.node
+left join nodes p on t.depth > 0 and p.node = t.up
+"""

@@ -17,6 +17,7 @@ from hallmark.llm import (
     near_dups,
     oracle,
     phrases,
+    prefix_trie,
     quotes,
     token_counts,
     token_files,
@@ -111,6 +112,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summed(spark, path)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: query
@@ -126,4 +131,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_search": oracle.EXACT_SEARCH,
         "op9_minhash_near_dups": oracle.NEAR_DUPS,
         "op11_phrase_mining": oracle.COLLOCATIONS,
+        "op13_prefix_trie": oracle.PREFIX_TRIE,
     }
