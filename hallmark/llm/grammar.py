@@ -1,9 +1,9 @@
 """Re-Pair grammars of id sequences in NumPy.
 
 The most frequent pairs of neighbouring ids become nonterminals, again and again, until
-no pair is frequent. A round replaces all pairs whose count is within a factor of two
-of the largest, more frequent ones first where two overlap, so that a round costs a few passes over an
-array. Rules of a round use ids and rules of earlier rounds only.
+no pair is frequent. A round replaces all pairs whose count is within a factor of the
+largest, more frequent ones first where two overlap, so that a round costs a few passes
+over an array. Rules of a round use ids and rules of earlier rounds only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import numpy as np
 
 #: A rule takes the room of about so many symbols' savings.
 LEAST_PAIRS = 8
+#: Pairs of one round differ in count by this factor at most.
+WITHIN = 4
 _BUCKETS = 1 << 20
 
 
@@ -101,27 +103,29 @@ def compressed(ids: np.ndarray, base: int, least: int = LEAST_PAIRS) -> Grammar:
             made = np.cumsum(worth) - 1 + base + len(rules)
             new = pairs[worth]
             symbols[at[chosen]] = made[of[chosen]]
-            symbols = np.delete(symbols, at[chosen] + 1)
+            stays = np.ones(len(symbols), bool)
+            stays[at[chosen] + 1] = False
+            symbols = symbols[stays]
             sizes = np.concatenate((np.ones(base, np.int64), lengths))
             rules = np.concatenate((rules, new))
             lengths = np.concatenate((lengths, sizes[new].sum(axis=1)))
             rounds.append(len(rules))
-        top = top // 2 if len(chosen) * 50 < len(symbols) or not len(chosen) else top
+        top = top // WITHIN if len(chosen) * 50 < len(symbols) or not len(chosen) else top
     return Grammar(base, symbols.astype(np.int64), rules, lengths, np.array(rounds, np.int64))
 
 
 def _frequent(symbols: np.ndarray, top: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Pairs of at least half the largest count up to `top`, most frequent first, with the
+    """Pairs of at least a quarter of the largest count up to `top`, most frequent first, with the
     places where they stand; and that count."""
     left, right = symbols[:-1], symbols[1:]
     bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
     held = np.bincount(bucket, minlength=_BUCKETS)
     top = min(top, int(held.max()))
-    at = np.flatnonzero((held >= max(least, top // 2))[bucket])
+    at = np.flatnonzero((held >= max(least, top // WITHIN))[bucket])
     keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
     kinds, of, counts = np.unique(keys, return_inverse=True, return_counts=True)
     top = min(top, int(counts.max(initial=0)))
-    often = np.flatnonzero(counts >= max(least, top // 2))
+    often = np.flatnonzero(counts >= max(least, top // WITHIN))
     often = often[np.argsort(-counts[often], kind="stable")]
     rank = np.full(len(kinds), -1)
     rank[often] = np.arange(len(often))

@@ -20,6 +20,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,10 @@ from hallmark.llm.tables import settled
 
 SHARD_IDS = 1 << 20
 END = 0
-#: Pieces that a worker remembers between slices of texts, and their bytes.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 16 << 20
+#: Pieces that a worker remembers between slices of texts, and the characters of them all.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
 ENCODED_AT_ONCE = 10_000
-SLICE = 4 << 20
+SLICE = 8 << 20
 _HEAD = struct.Struct("<4s7I")
 _VERSION = 1
 FILES = (
@@ -47,28 +49,27 @@ FILES = (
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14), *range(28, 32)]] = True
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_KIND = np.zeros(256, np.int8)
+_KIND[[*range(48, 58)]] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
 
 
-def _cuts(data: np.ndarray, finer: bool = False) -> np.ndarray:
-    """Places at which the vocabulary's splitting always cuts, so that both sides can be
-    encoded apart: before a space that follows no white space. Looks at the last two bytes:
-    a letter of two bytes (U+00C0 to U+07FF) is none. With `finer`, also between a letter
-    or digit and another kind of ASCII character, but not before a bar, which special tokens hold."""
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """True where the vocabulary's splitting always cuts, so that both sides can be encoded apart.
+
+    That is before a space that follows no white space, and between a letter or digit and
+    another kind of ASCII character, but not before a bar, which special tokens hold. Of letters
+    beyond ASCII only those of two bytes (U+00C0 to U+07FF) are known not to be white space.
+    """
     cut = np.zeros(len(data), bool)
     if len(data) < 2:
-        return np.flatnonzero(cut)
-    last = data[:-1]
+        return cut
+    last, next_ = data[:-1], data[1:]
     plain = (last < 0x80) & ~_SPACES[last]
     plain[1:] |= (last[1:] >= 0x80) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
-    cut[1:] = (data[1:] == 32) & plain
-    if finer:
-        kind = _WORD.astype(np.int8) + _LETTER
-        cut[1:] |= _WORD[last] & (kind[data[1:]] != kind[last]) & (data[1:] < 0x80) & (data[1:] != 124)
-    return np.flatnonzero(cut)
+    cut[1:] = (next_ == 32) & plain
+    cut[1:] |= (_KIND[last] > 0) & (_KIND[next_] != _KIND[last]) & (next_ < 0x80) & (next_ != 124)
+    return cut
 
 
 class Encoder:
@@ -87,16 +88,25 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.base = self.library.get_vocab_size(with_added_tokens=True)
-        self.end = end
-        self._forget()
-
-    def _forget(self) -> None:
-        """Piece 0 is the end of a document."""
         self.known: dict[str, int] = {}
-        self.known_bytes = 0
-        self.flat = np.full(1 << 16, self.end, np.uint32)
-        self.begins, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.chars = 0
+        # piece 0 is the end of a document
+        self.flat = np.full(1 << 16, end, np.uint32)
         self.used = 1
+        self.begins, self.sizes, self.last = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.slice = 0
+
+    def _forget(self) -> None:
+        """Drop the half of the pieces that were used the longest ago."""
+        kept = self.last > np.median(self.last[1:])
+        kept[0] = True
+        pieces = [x for x, slot in self.known.items() if kept[slot]]
+        slots = np.array([0, *[self.known[x] for x in pieces]], np.int64)
+        flat, sizes = self._ids(slots), self.sizes[slots]
+        self.flat, self.used = flat.copy(), len(flat)
+        self.begins, self.sizes, self.last = np.cumsum(sizes) - sizes, sizes, self.last[slots]
+        self.known = dict(zip(pieces, range(1, len(slots)), strict=True))
+        self.chars = sum(map(len, pieces))
 
     def _learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), ENCODED_AT_ONCE):
@@ -106,13 +116,14 @@ class Encoder:
             total = int(sizes.sum())
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros(max(total, len(self.flat)), np.uint32)))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
             first = len(self.sizes)
             self.begins = np.concatenate((self.begins, self.used + np.cumsum(sizes) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes))
+            self.last = np.concatenate((self.last, np.zeros(len(part), np.int64)))
             self.used += total
             self.known.update(zip(part, range(first, first + len(part)), strict=True))
-            self.known_bytes += sum(map(len, part))
+            self.chars += sum(map(len, part))
 
     def _slots(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Number of each piece of `data`, which begin at `begins`."""
@@ -120,10 +131,12 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         self._learn([x for x in kinds if x not in self.known])
         slot = np.array([self.known[x] for x in kinds], np.int64)
+        self.slice += 1
+        self.last[slot] = self.slice
         return slot[coded.indices.to_numpy()] if len(begins) else slot
 
     def _ids(self, slots: np.ndarray) -> np.ndarray:
@@ -136,11 +149,15 @@ class Encoder:
             whole = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
             if len(part) == 1 and len(whole) > SLICE:
                 for data, ended in _windows(whole):
-                    slots = self._slots(data, np.unique(np.append(_cuts(data, finer=True), 0)))
+                    cuts = _cuts(data)
+                    cuts[0] = True
+                    slots = self._slots(data, np.flatnonzero(cuts))
                     yield first, self._ids(np.append(slots, 0) if ended else slots), ended
                 continue
             offsets = offsets - offsets[0]
-            begins = np.unique(np.concatenate((_cuts(whole), offsets[:-1][np.diff(offsets) > 0])))
+            cuts = _cuts(whole)
+            cuts[offsets[:-1][np.diff(offsets) > 0]] = True
+            begins = np.flatnonzero(cuts)
             slots = self._slots(whole, begins)
             texts_end = np.searchsorted(begins, offsets[1:])
             slots = np.insert(slots, texts_end, 0)
@@ -150,12 +167,18 @@ class Encoder:
                 yield first + row, ids[a:b], True
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end: int) -> Encoder:
+    """One for all tasks of a worker: it remembers pieces."""
+    return Encoder(path, end)
+
+
 def _windows(data: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
     begin, reach = 0, SLICE
     while begin < len(data):
         part = data[begin : begin + reach]
         if begin + reach < len(data):
-            cuts = _cuts(part, finer=True)
+            cuts = np.flatnonzero(_cuts(part))
             if not len(cuts):
                 reach *= 2
                 continue
@@ -275,7 +298,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_ids:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("_hash", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end)
+        encoder = _encoder(tokenizer, end)
         shards = Shards(TaskContext.get().partitionId(), encoder.base, shard_ids)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

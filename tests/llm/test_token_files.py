@@ -70,6 +70,16 @@ def test_encoder_equals_the_library_on_odd_texts(library, monkeypatch, slice_byt
     assert [got[k] for k in range(len(texts))] == [ids_of(library, t) for t in texts]
 
 
+def test_encoder_that_forgets_gives_the_same(library, monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 20)
+    encoder = token_files.Encoder(PATH)
+    texts = odd_texts(5)
+    for k in range(0, 400, 4):
+        got = [ids.tolist() for _, ids, _ in encoder.stream(pa.array(texts[k : k + 4]))]
+        assert got == [ids_of(library, t) for t in texts[k : k + 4]]
+    assert len(encoder.known) < 500
+
+
 def rows():
     texts = odd_texts(9)[:120]
     found = [(k * 7 % 120 - 20, t) for k, t in enumerate(texts)]
