@@ -9,9 +9,11 @@ frequent phrase has been counted: all parts of a frequent phrase are frequent.
 
 The tasks know the proposals as a Bloom filter of fixed size, whatever the corpus. A
 phrase that passes it by chance is counted for nothing; none is lost. Proposals are
-counted by their text, the border by 64-bit hashes, which only decide what is counted by
-its text in the next pass. Every task adds up its own counts before the shuffle, so a
-phrase in very many texts is one row a task there.
+counted by their text, the border by hashes, which only decide what is counted by its
+text in the next pass: two phrases of one hash can cost a pass, but no count. Every task
+adds up its own counts before the shuffle, so a phrase in very many texts is one entry a
+task there. Hashes are cut into buckets of a few megabytes of text each; a task sends the sorted
+hashes of a bucket as one packed value, and a bucket is added up by one task.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ SAMPLE_SUPPORT = 2
 #: 64-bit words of the filter: 16 MB in every worker.
 FILTER_WORDS = 1 << 21
 #: Hashes, and phrases with their texts, that a task gathers before it sends their counts on.
-HELD_HASHES = 2_000_000
+HELD_HASHES = 4_000_000
 HELD_PHRASES = 300_000
+#: Bytes of text for each bucket of hashes, which have 32 bits besides the bucket's number.
+BUCKET_BYTES = 1 << 20
 NO_LANGUAGE = "und"
 
 # fixed values: what ends a piece, and what else stands between words
@@ -52,6 +56,7 @@ _rng = np.random.default_rng(11)
 _PLACES = _rng.integers(0, 1 << 63, LONGEST + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # where a hash holds the places of its bits in a word of the filter
 _BITS = (40, 46, 52, 58)
+SENT = "bucket long, ones binary, more binary, counts binary, k int, lang string, phrase string, n long"
 COUNTS = "k int, lang string, h long, phrase string, n long"
 
 
@@ -63,6 +68,7 @@ class Proposals:
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         wanted = np.zeros(len(hashes), np.uint64)
+        hashes = W.mixed(hashes)
         for shift in _BITS:
             wanted |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
         held = self.words[(hashes & np.uint64(len(self.words) - 1)).astype(np.int64)]
@@ -73,7 +79,7 @@ class Proposals:
 
 
 def proposals(hashes: DataFrame, size: int = FILTER_WORDS) -> Proposals:
-    """Filter of the column `h`; what comes to the driver is at most `size` words."""
+    """Filter of the column `h`, scrambled short hashes; at most `size` words come to the driver."""
     h = F.col("h")
     one = F.lit(1).cast("long")
     mask: Column = F.lit(0).cast("long")
@@ -95,11 +101,11 @@ class Phrases:
     """Phrases of a few texts: for each length their hashes at each word they begin at.
 
     `begins[k]` are the words at which a phrase of k + 1 words within one piece begins,
-    `hashes[k]` their hashes, which differ by language and length, `fresh[k]` those that
-    the text's last window did not hold.
+    `hashes[k]` their hashes, which differ by language and length, `short[k]` the first
+    `bits` of these, `fresh[k]` those that the text's last window did not hold.
     """
 
-    def __init__(self, texts: pa.Array, languages: np.ndarray, repeated: int = 0):
+    def __init__(self, texts: pa.Array, languages: np.ndarray, repeated: int = 0, bits: int = 32):
         self.words = words = W.Words(texts, _GAPS)
         count = len(words.starts)
         single = words.hashes()
@@ -109,7 +115,7 @@ class Phrases:
         joined = np.zeros(count, bool)
         joined[:-1] = (pieces[1:] == pieces[:-1]) & (of_text[1:] == of_text[:-1])
         language = languages[of_text]
-        self.begins, self.hashes, self.fresh = [], [], []
+        self.begins, self.hashes, self.short, self.fresh = [], [], [], []
         whole = np.ones(count, bool)
         total = language * _PLACES[-1]
         for k in range(LONGEST):
@@ -123,6 +129,7 @@ class Phrases:
             self.begins.append(at)
             self.fresh.append(at >= repeated - k)
             self.hashes.append(W.mixed(total[at] + np.uint64(k)))
+            self.short.append(self.hashes[k] >> np.uint64(64 - bits))
 
     def phrase(self, begin: int, k: int) -> str:
         return " ".join(self.words.text(begin + i) for i in range(k + 1))
@@ -131,7 +138,7 @@ class Phrases:
         """For each length: which phrases are counted, and which of them are proposed."""
         found = []
         below = np.zeros(len(self.words.starts) + 1, bool)
-        for k, (at, hashes) in enumerate(zip(self.begins, self.hashes, strict=True)):
+        for k, (at, hashes) in enumerate(zip(self.begins, self.short, strict=True)):
             if proposed is None:
                 counted = known = np.zeros(len(at), bool)
             else:
@@ -174,15 +181,16 @@ def _windows(texts: pa.Array, size: int = W.SLICE_BYTES) -> Iterator[tuple[int,
 class _Counts:
     """Counts that a task adds up before it sends them on."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
         self.hashes: list[np.ndarray] = []
         self.size = 0
         self.phrases: dict[int, list] = {}
         self.totals: dict[str, int] = {}
 
-    def of_border(self, hashes: np.ndarray) -> None:
-        self.hashes.append(hashes)
-        self.size += len(hashes)
+    def of_border(self, short: np.ndarray) -> None:
+        self.hashes.append(short)
+        self.size += len(short)
 
     def of_phrases(self, found: Phrases, k: int, chosen: np.ndarray, names: list[str]) -> None:
         hashes, first, counts = np.unique(found.hashes[k][chosen], return_index=True, return_counts=True)
@@ -196,33 +204,58 @@ class _Counts:
 
     def border_rows(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            hashes, counts = np.unique(np.concatenate(self.hashes), return_counts=True)
-            for k in range(0, len(hashes), 1 << 17):
-                part, n = hashes[k : k + (1 << 17)], counts[k : k + (1 << 17)]
-                yield _rows([None] * len(part), [None] * len(part), part.view(np.int64), [None] * len(part), n)
+            hashes = np.sort(np.concatenate(self.hashes))
+            first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            counts = np.diff(np.append(first, len(hashes)))
+            hashes = hashes[first]
+            buckets = hashes >> np.uint64(32)
+            cuts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+            rows = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True):
+                low, n = (hashes[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[a:b]
+                rows.append((int(buckets[a]), _packed(low[n == 1]), _packed(low[n > 1]), n[n > 1].astype("<u4").tobytes()))
+                if len(rows) == 4096:
+                    yield _sent(*zip(*rows, strict=True))
+                    rows = []
+            if rows:
+                yield _sent(*zip(*rows, strict=True))
         self.hashes, self.size = [], 0
 
     def phrase_rows(self) -> Iterator[pa.RecordBatch]:
         rows = list(self.phrases.items())
         for k in range(0, len(rows), 1 << 15):
             part = rows[k : k + (1 << 15)]
-            k_, lang, phrase, n = zip(*[held for _, held in part], strict=True)
-            yield _rows(k_, lang, np.array([h for h, _ in part], np.uint64).view(np.int64), phrase, n)
+            buckets = [h >> (64 - self.bits + 32) if self.bits > 32 else 0 for h, _ in part]
+            yield _sent(buckets, None, None, None, *zip(*[held for _, held in part], strict=True))
         if self.totals:
             names = list(self.totals)
-            hashes = np.array([_language(x) for x in names], np.uint64).view(np.int64)
-            yield _rows([0] * len(names), names, hashes, [""] * len(names), list(self.totals.values()))
+            yield _sent([0] * len(names), None, None, None, [0] * len(names), names, [""] * len(names), list(self.totals.values()))
         self.phrases, self.totals = {}, {}
 
 
-def _rows(k, lang, h, phrase, n) -> pa.RecordBatch:
+def _packed(ascending: np.ndarray) -> bytes:
+    """Steps between 32-bit numbers, first all lowest bytes, then the next: the shuffle's
+    compression takes the high ones away."""
+    steps = np.diff(ascending, prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel(), dtype=np.uint64)
+
+
+def _sent(bucket, ones=None, more=None, counts=None, k=None, lang=None, phrase=None, n=None) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    columns = [bucket, ones, more, counts, k, lang, phrase, n]
+    size = len(bucket)
     return pa.RecordBatch.from_arrays(
-        [pa.array(k, pa.int32()), pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-        names=["k", "lang", "h", "phrase", "n"],
+        [pa.nulls(size, kind) if c is None else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+        names=[field.split()[0] for field in SENT.split(", ")],
     )
 
 
-def counted(texts: DataFrame, now: Proposals | None, before: Proposals | None, support: int) -> DataFrame:
+def counted(texts: DataFrame, now: Proposals | None, before: Proposals | None, support: int, bits: int) -> DataFrame:
     """Counts (k, lang, h, phrase, n) that are new with the proposals `now` after `before`.
 
     Proposals come with their text, the border by hashes alone (k, lang, phrase null);
@@ -234,15 +267,15 @@ def counted(texts: DataFrame, now: Proposals | None, before: Proposals | None, s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = [Proposals(x.value) if x else None for x in sent]
-        counts = _Counts()
+        counts = _Counts(bits)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, part, repeated in _windows(batch.column(1)):
                 own = names[first : first + len(part)]
-                found = Phrases(part, np.array([_language(x) for x in own], np.uint64), repeated)
+                found = Phrases(part, np.array([_language(x) for x in own], np.uint64), repeated, bits)
                 if new is None:
-                    for hashes, fresh in zip(found.hashes, found.fresh, strict=True):
-                        counts.of_border(hashes[fresh])
+                    for short, fresh in zip(found.short, found.fresh, strict=True):
+                        counts.of_border(short[fresh])
                 else:
                     _add(counts, found, own, new, old, repeated)
                 if counts.size > HELD_HASHES:
@@ -252,14 +285,48 @@ def counted(texts: DataFrame, now: Proposals | None, before: Proposals | None, s
         yield from counts.border_rows()
         yield from counts.phrase_rows()
 
-    # dealt by hash: tasks have added up their own counts, so a second partial sum is idle
-    return (
-        texts.mapInArrow(count, COUNTS)
-        .repartition("h")
-        .groupBy("h", "k", "lang", "phrase")
-        .agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= support) | (F.col("k") == 0))
-        .select("k", "lang", "h", "phrase", "n")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket: int | None = None
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket and rows:
+                    yield _added_up(rows, support)
+                    rows = []
+                bucket = row["bucket"]
+                rows.append(row)
+        if rows:
+            yield _added_up(rows, support)
+
+    return texts.mapInArrow(count, SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, COUNTS)
+
+
+def _added_up(rows: list[dict], support: int) -> pa.RecordBatch:
+    """Counts of one bucket."""
+    hashes, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    phrases: dict[tuple[int, str, str], int] = {}
+    for row in rows:
+        if row["ones"] is None:
+            key = row["k"], row["lang"], row["phrase"]
+            phrases[key] = phrases.get(key, 0) + row["n"]
+            continue
+        ones, more = _unpacked(row["ones"]), _unpacked(row["more"])
+        hashes += [ones, more]
+        weights += [np.ones(len(ones), np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64)]
+    kinds, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(of, np.concatenate(weights), len(kinds)).astype(np.int64)
+    often = counts >= support
+    kinds = W.mixed(kinds[often] | np.uint64(rows[0]["bucket"] << 32)).view(np.int64)
+    kept = [(*key, n) for key, n in phrases.items() if n >= support or key[0] == 0]
+    k, lang, phrase, n = zip(*kept, strict=True) if kept else ((), (), (), ())
+    nothing = [None] * len(kinds)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([*nothing, *k], pa.int32()), pa.array([*nothing, *lang], pa.string()),
+            pa.array([*kinds.tolist(), *[None] * len(k)], pa.int64()), pa.array([*nothing, *phrase], pa.string()),
+            pa.array([*counts[often].tolist(), *n], pa.int64()),
+        ],
+        names=["k", "lang", "h", "phrase", "n"],
     )
 
 
@@ -270,7 +337,7 @@ def _add(counts: _Counts, found: Phrases, names: list[str], new: Proposals, old:
     for k, (now, then) in enumerate(zip(found.layers(new), found.layers(old), strict=True)):
         by_text = found.fresh[k] & now[1] & ~then[1]
         by_hash = found.fresh[k] & now[0] & ~now[1] & ~then[0]
-        counts.of_border(found.hashes[k][by_hash])
+        counts.of_border(found.short[k][by_hash])
         if by_text.any():
             counts.of_phrases(found, k, np.flatnonzero(by_text), names)
 
@@ -290,11 +357,13 @@ def frequent(
         F.col("text").cast("string").alias("text"),
     )
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0)
-    now = proposals(counted(sample, None, None, SAMPLE_SUPPORT), filter_words)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = 32 + min(31, (size // BUCKET_BYTES).bit_length())
+    now = proposals(counted(sample, None, None, SAMPLE_SUPPORT, bits), filter_words)
     before: Proposals | None = None
     passes: list[DataFrame] = []
     while True:
-        counts = step(counted(texts, now, before, support))
+        counts = step(counted(texts, now, before, support, bits))
         passes.append(counts.where("k is not null"))
         failures = counts.where("k is null")
         if failures.isEmpty():
