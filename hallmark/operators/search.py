@@ -6,8 +6,9 @@ import json
 import math
 from dataclasses import dataclass
 from itertools import combinations
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import hamming64, hamming_hex, hex_to_i64, is_hex, trigram_similarity
@@ -15,10 +16,14 @@ from ..functions.hashes import HEX_PATTERN
 from ..session import checkpointed, dealt
 from ..settings import SEARCH_LIMIT, SEARCH_MAX_DISTANCE, TRIGRAM_THRESHOLD
 
+if TYPE_CHECKING:
+    from ..sources.index import MatchIndex
+
 HASH_BITS = 64
 NO_DISTANCE = 10**9
 PROBE_COST = 200
 BY_COLUMN = -1
+ROUND_KEYS = 30
 
 
 # --- one query ---------------------------------------------------------------------
@@ -229,6 +234,21 @@ def _exploded(rows: DataFrame, word: str, entries: Column, tag: str = "") -> Dat
     )
 
 
+def part_keys(rows: DataFrame, word: str, parts: int) -> DataFrame:
+    """Each row once for each of `parts` parts of `word`, with `part` and `key`.
+
+    The keys serve every radius: a smaller one looks at the first parts only.
+    """
+    slices = [_Slice(low, high, 0) for low, high in _cut(0, HASH_BITS, parts)]
+    return _exploded(rows, word, _literal(_entries(slices, flipped=False)))
+
+
+def hot_limit(target_rows: int, hot_rows: int | None = None) -> int:
+    """Rows of a key beyond which it is hot; the floor keeps the list of hot keys, which
+    is broadcast, to a few thousand."""
+    return max(hot_rows or 4096, target_rows // 1024)
+
+
 def _literal(entries: list, depth: int = 1) -> Column:
     """Entries as one folded literal, so that loops over them are generated code."""
     kind = "struct<p int, mask bigint, flip bigint>"
@@ -246,32 +266,39 @@ def _first_met(slices: list[_Slice], difference: Column) -> Column:
 
 def hash_pairs(
     queries: DataFrame,
-    targets: DataFrame,
+    targets: DataFrame | None,
     max_distance: int,
     target_rows: int | None = None,
     hot_rows: int | None = None,
     parts: int | None = None,
+    postings: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """All (q, t, distance) with distance <= max_distance; no pair twice.
 
-    Takes tables with one bigint column, `q` and `t`, of distinct hashes.
+    Takes tables with one bigint column, `q` and `t`, of distinct hashes. Stored
+    `postings` (part, key, t) of as many `parts`, with their `hot` keys, take the place of the targets,
+    which are then not read.
 
     Part keys that very many targets share (flat images, one busy source) are
     looked up by a second part as well, so such a group is never compared as a
     whole; nothing is dropped for it. A pair that several parts would find is
     kept by the first of them only, which takes the place of a distinct.
     """
-    if target_rows is None:
-        target_rows = targets.count()
-    parts = parts or choose_parts(target_rows, max_distance)
-    # the floor keeps the list of hot keys, which is broadcast, to a few thousand
-    hot_rows = max(hot_rows or 4096, target_rows // 1024)
+    if postings is None:
+        if target_rows is None:
+            target_rows = targets.count()
+        parts = parts or choose_parts(target_rows, max_distance)
+        hot_rows = hot_limit(target_rows, hot_rows)
     bounds = _cut(0, HASH_BITS, parts)
     outer = _slices(bounds, max_distance)
     difference = F.col("q").bitwiseXOR(F.col("t"))
     distance = F.bit_count(difference)
 
-    index = _exploded(targets, "t", _literal(_entries(outer, flipped=False)))
+    if postings is None:
+        index = _exploded(targets, "t", _literal(_entries(outer, flipped=False)))
+    else:
+        index = postings.filter(F.col("part") < len(outer)).select("t", "part", "key")
     probes = _exploded(dealt(queries), "q", _literal(_entries(outer, flipped=True)))
 
     def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -287,14 +314,14 @@ def hash_pairs(
         )
 
     keys = ["part", "key"]
-    if target_rows <= hot_rows:
+    if (postings is not None and hot is None) or (postings is None and target_rows <= hot_rows):
         return met(probes, index, keys)
 
     # At most target_rows / hot_rows keys per part can be hot, so this table has a
     # few thousand rows whatever the data.
-    hot = F.broadcast(
-        index.groupBy(keys).count().filter(F.col("count") > hot_rows).select(keys)
-    )
+    if hot is None:
+        hot = index.groupBy(keys).count().filter(F.col("count") > hot_rows).select(keys)
+    hot = F.broadcast(hot)
     finer = math.ceil(3 / (parts - 1))
     inner = [
         _slices(
@@ -367,6 +394,39 @@ def radius_join(
     return rows.select("query_id", "asset_id", "distance")
 
 
+def radius_join_indexed(
+    queries: DataFrame, index: MatchIndex, column: str = "phash", max_distance: int = 10
+) -> DataFrame:
+    """`radius_join` from the stored index: no column of the ledger is read, and the
+    index is not shuffled."""
+    pairs = indexed_pairs(
+        _distinct_hashes(queries, column, "q"), index, column, max_distance
+    )
+    scoped = "account_id" in queries.columns
+    wanted = [F.col("account_id").alias("_account")] if scoped else []
+    q_rows = queries.select("query_id", hash64(queries, column).alias("q"), *wanted)
+    rows = pairs.join(q_rows, "q").join(index.assets(column).hint("merge"), "t")
+    if scoped:
+        rows = rows.filter(
+            F.col("_account").isNull() | (F.col("_account") == F.col("account_id"))
+        )
+    return rows.select("query_id", "asset_id", "distance")
+
+
+def indexed_pairs(
+    hashes: DataFrame, index: MatchIndex, column: str, max_distance: int
+) -> DataFrame:
+    """`hash_pairs` of distinct hashes `q` with those of the index."""
+    return hash_pairs(
+        hashes,
+        None,
+        max_distance,
+        parts=index.parts,
+        postings=index.words(column),
+        hot=index.hot(column),
+    )
+
+
 def search_batch(
     queries: DataFrame,
     ledger: DataFrame,
@@ -387,56 +447,103 @@ def search_batch(
     )
 
 
+def _exact_flips(bounds: list[tuple[int, int]], part: int, radius: int) -> list[dict[str, int]]:
+    """Entries of one part with exactly `radius` bits flipped."""
+    low, high = bounds[part]
+    mask = _Slice(low, high, 0).mask
+    flips = combinations(range(low, high), radius)
+    return [{"p": part, "mask": mask, "flip": _signed(sum(1 << b for b in chosen))} for chosen in flips]
+
+
 def nearest_match(
     queries: DataFrame,
     candidates: DataFrame,
     column: str = "phash",
     threshold: int = 10,
-    wider: tuple[int, ...] = (16, 24, 36, HASH_BITS),
+    hot_rows: int | None = None,
+    met: list[int] | None = None,
 ) -> DataFrame:
     """(query_id, match_idx, distance) of the nearest candidate, lowest idx on ties.
 
-    Beyond the threshold the index is null and the distance stays. Most queries
-    are settled at the threshold; only the rest look further, round by round.
+    Beyond the threshold the index is null and the distance stays. The search is best
+    first: round by round one part of the hash may differ in one bit more, and each open
+    query looks up the keys that this adds. After round D every candidate within D
+    bits has been met, so a query whose best is within D is settled and leaves. Keys that
+    very many candidates share are looked up by a second part as well, each time all
+    parts have grown. The number of candidates that each round met is added to `met`, if a list is given.
     """
     by_hash = checkpointed(
-        candidates.groupBy(hash64(candidates, column).alias("t")).agg(
-            F.min("idx").alias("idx")
-        )
+        candidates.groupBy(hash64(candidates, column).alias("t"))
+        .agg(F.min("idx").alias("idx"))
+        .filter("t IS NOT NULL")
     )
     keyed = queries.select("query_id", hash64(queries, column).alias("q"))
-    unread = keyed.filter("q IS NULL").select(
-        "query_id",
-        F.lit(None).cast("bigint").alias("match_idx"),
-        F.lit(NO_DISTANCE).alias("distance"),
+    found = keyed.filter("q IS NOT NULL").join(
+        _nearest(keyed.select("q").distinct(), by_hash, hot_rows, met), "q", "left"
     )
-    keyed = keyed.filter("q IS NOT NULL")
-    open_hashes = keyed.select("q").distinct()
-    size = by_hash.count()
-    settled: DataFrame | None = None
-    radii = [threshold] + [r for r in wider if r > threshold] if size else []
-    for radius in radii:
-        pairs = hash_pairs(open_hashes, by_hash.select("t"), radius, size)
-        best = checkpointed(
-            pairs.join(by_hash, "t")
-            .groupBy("q")
-            .agg(F.min(F.struct("distance", "idx")).alias("best"))
-        )
-        settled = best if settled is None else settled.unionByName(best)
-        open_hashes = checkpointed(open_hashes.join(best, "q", "left_anti"))
-        if open_hashes.isEmpty():
-            break
-    if settled is None:
-        return keyed.select(
-            "query_id",
-            F.lit(None).cast("bigint").alias("match_idx"),
-            F.lit(NO_DISTANCE).alias("distance"),
-        ).unionByName(unread)
-    found = keyed.join(settled, "q", "left").select(
+    # hashes that cannot be read match nothing
+    rows = found.select("query_id", "best").unionByName(
+        keyed.filter("q IS NULL").select("query_id", F.lit(None).cast("struct<distance int, idx bigint>").alias("best"))
+    )
+    return rows.select(
         "query_id",
-        F.when(F.col("best.distance") <= threshold, F.col("best.idx")).alias(
-            "match_idx"
-        ),
+        F.when(F.col("best.distance") <= threshold, F.col("best.idx")).alias("match_idx"),
         F.coalesce("best.distance", F.lit(NO_DISTANCE)).alias("distance"),
     )
-    return found.unionByName(unread)
+
+
+def _nearest(
+    hashes: DataFrame, by_hash: DataFrame, hot_rows: int | None, met: list[int] | None
+) -> DataFrame:
+    """(q, best) with best the least (distance, idx)."""
+    size = by_hash.count()
+    # a key of one part is then that of a few candidates, for evenly spread hashes
+    parts = min(16, max(2, round(HASH_BITS / max(4.0, math.log2(max(2, size))))))
+    bounds = _cut(0, HASH_BITS, parts)
+    keys = ["part", "key"]
+    index = checkpointed(part_keys(by_hash.select("t", F.col("idx").cast("bigint").alias("idx")), "t", parts))
+    hot = index.groupBy(keys).count().filter(F.col("count") > hot_limit(size, hot_rows)).select(keys)
+    hot = checkpointed(hot)
+    lopsided = not hot.isEmpty()
+    cold, shared = index, None
+    if lopsided:
+        cold = checkpointed(index.join(F.broadcast(hot), keys, "left_anti"))
+        shared = checkpointed(index.join(F.broadcast(hot), keys, "left_semi").select("t", *keys))
+
+    nothing = F.lit(None).cast("struct<distance int, idx bigint>")
+    open_ = checkpointed(hashes.filter("q IS NOT NULL").select("q", nothing.alias("best")))
+    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("t")))
+    best = F.min(F.struct(distance.cast("int").alias("distance"), "idx"))
+    settled = open_.limit(0)
+    entries: list[dict[str, int]] = []
+    for reached in range(HASH_BITS + 1) if size else []:
+        entries += _exact_flips(bounds, reached % parts, reached // parts)
+        whole = (reached + 1) % parts == 0
+        if reached < HASH_BITS and len(entries) < ROUND_KEYS and not (lopsided and whole):
+            continue  # rounds of few keys go together
+        if entries:
+            probes = _exploded(dealt(open_.select("q")), "q", _literal(entries))
+            near = probes.join(cold.hint("merge"), keys)
+            seen = Observation()
+            if met is not None:
+                near = near.observe(seen, F.count("*").alias("n"))
+            fresh = near.groupBy("q").agg(best.alias("fresh"))
+            joined = open_.join(fresh, "q", "left")
+            open_ = checkpointed(joined.select("q", F.least("best", "fresh").alias("best")))
+            if met is not None:
+                met.append(seen.get["n"])
+            entries = []
+        if lopsided and (whole or reached == HASH_BITS):
+            pairs = hash_pairs(open_.select("q"), None, reached, parts=parts, postings=shared, hot=hot)
+            fresh = pairs.join(by_hash, "t").groupBy("q").agg(
+                F.min(F.struct("distance", F.col("idx").cast("bigint").alias("idx"))).alias("fresh")
+            )
+            open_ = checkpointed(open_.join(fresh, "q", "left").select("q", F.least("best", "fresh").alias("best")))
+        elif lopsided:
+            continue
+        done = F.coalesce(F.col("best.distance") <= reached, F.lit(False))
+        settled = settled.unionByName(open_.filter(done))
+        open_ = checkpointed(open_.filter(~done))
+        if open_.isEmpty():
+            break
+    return settled

@@ -41,6 +41,7 @@ from ..settings import HASHES
 from ..sources import images as image_source
 from ..sources import ledger as ledger_source
 from ..sources import manifests as manifest_source
+from ..sources.index import MatchIndex, build_index
 from ..streaming import match_stream, rate_limit_stream, register_stream, replay_stream
 from . import derived
 from .derived import MASTER
@@ -401,6 +402,20 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _index(spark: SparkSession, ledger: DataFrame) -> MatchIndex:
+    """Built from two thirds of the ledger; two thirds, half of them known, are appended."""
+    index = build_index(ledger.filter("ok % 3 <> 0"), _folder(spark, "indexed"))
+    index.append(ledger.filter("ok % 3 <> 1"))
+    return index
+
+
+@_named
+def radius_join_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.radius_join_indexed(
+        derived.suspects(spark, sf_dir), _index(spark, derived.ledger(spark, sf_dir)), max_distance=14
+    )
+
+
 @_named
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = derived.suspects(spark, sf_dir).drop("account_id")
@@ -449,6 +464,16 @@ def match_codeword(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_named
+def match_codeword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codewords.match_codeword(
+        derived.codeword_suspects(spark, sf_dir), None, index=_index(spark, derived.ledger(spark, sf_dir))
+    )
+    return found.drop("codeword").withColumn(
+        "byte_errors", _or_minus_one("byte_errors")
+    )
+
+
 def _report(found: DataFrame) -> DataFrame:
     return found.select(
         "image_id",
@@ -472,6 +497,13 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_named
+def lookup_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = derived.reregistered(spark, sf_dir)
+    suspects = derived.mixed_suspects(spark, sf_dir)
+    return _report(match.lookup(suspects, ledger, index=_index(spark, ledger)))
+
+
 @_named
 def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = derived.ledger(spark, sf_dir)

@@ -636,5 +636,8 @@ def oracle_sql() -> dict[str, str]:
         + bodies["image_blocks"]
         + ")"
     )
+    # other ways to the same rows
+    for name in ("radius_join", "match_codeword", "lookup"):
+        bodies[f"{name}_indexed"] = bodies[name]
     return {name: _assemble(body) for name, body in bodies.items()}
 

@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 from .images import capacity_filter, read_images, split_rejects, validate_images
+from .index import MatchIndex, build_index, compact, open_index
 from .ledger import (
     bind_claims,
     claim_time,

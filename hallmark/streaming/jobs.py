@@ -13,6 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..operators.match import lookup
 from ..settings import KEY_NAMESPACE, NONCE_TTL_SECONDS
+from ..sources.index import open_index
 from ..sources.ledger import register
 
 
@@ -46,17 +47,22 @@ def match_stream(
     ledger: DataFrame,
     path: str,
     checkpoint: str,
-    match: Callable[[DataFrame, DataFrame], DataFrame] = lookup,
+    match: Callable[..., DataFrame] = lookup,
+    index_path: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Match a stream of suspects against the ledger, one Parquet folder per batch.
 
     `match` is `lookup` for suspects that are read already, `extract_and_lookup`
-    for raw images. A repeated batch replaces its own folder.
+    for raw images. A repeated batch replaces its own folder. `index_path` is the ledger's
+    path whose stored index is opened for each batch, so that no batch reads all hashes.
     """
 
     def report(batch: DataFrame, batch_id: int) -> None:
-        match(batch, ledger).write.mode("overwrite").parquet(
+        options = {}
+        if index_path is not None:
+            options["index"] = open_index(batch.sparkSession, index_path)
+        match(batch, ledger, **options).write.mode("overwrite").parquet(
             f"{path}/batch_id={batch_id}"
         )
 

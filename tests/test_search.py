@@ -106,6 +106,36 @@ def test_nearest_match(spark):
     assert {(r.match_idx, r.distance) for r in empty} == {(None, search.NO_DISTANCE)}
 
 
+def nearest(queries, targets):
+    return {signed(q): min(((q ^ t).bit_count(), n) for n, t in enumerate(targets)) for q in queries}
+
+
+@pytest.mark.parametrize("hot_rows", [None, 50])
+def test_nearest_match_equals_brute_force_on_lopsided_hashes(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(search, "hot_limit", lambda rows, hot=None: hot or 4096)
+    queries, targets = clustered(21)
+    queries = sorted(queries)[:60] + [random.Random(4).getrandbits(64) for _ in range(20)]
+    targets = sorted(targets)
+    candidates = spark.createDataFrame([(n, signed(t)) for n, t in enumerate(targets + targets[:9])], "idx bigint, phash64 bigint")
+    asked = spark.createDataFrame([(n, signed(q)) for n, q in enumerate(queries)], "query_id bigint, phash64 bigint")
+    got = search.nearest_match(asked, candidates, threshold=64, hot_rows=hot_rows).collect()
+    want = nearest(queries, targets)
+    assert {r.query_id: (r.distance, r.match_idx) for r in got} == {n: want[signed(q)] for n, q in enumerate(queries)}
+
+
+def test_nearest_match_meets_few_candidates(spark):
+    rng = random.Random(12)
+    targets = [rng.getrandbits(64) for _ in range(6000)]
+    queries = [near(rng, rng.choice(targets), rng.randrange(0, 11)) for _ in range(300)]
+    candidates = spark.createDataFrame([(n, signed(t)) for n, t in enumerate(targets)], "idx bigint, phash64 bigint")
+    asked = spark.createDataFrame([(n, signed(q)) for n, q in enumerate(queries)], "query_id bigint, phash64 bigint")
+    met: list[int] = []
+    got = search.nearest_match(asked, candidates, met=met).collect()
+    want = nearest(queries, targets)
+    assert {r.query_id: r.distance for r in got} == {n: want[signed(q)][0] for n, q in enumerate(queries)}
+    assert len(met) > 1 and sum(met) < 0.02 * len(queries) * len(targets)
+
+
 @pytest.fixture(scope="module")
 def small_ledger(spark):
     rows = [
