@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import hamming64, hamming_hex, hex_to_i64, is_hex, trigram_similarity
-from ..functions.hashes import HEX_PATTERN
-from ..session import checkpointed, dealt
+from ..functions.hashes import HEX_PATTERN, trigrams
+from ..session import checkpointed, dealt, task_count
 from ..settings import SEARCH_LIMIT, SEARCH_MAX_DISTANCE, TRIGRAM_THRESHOLD
 
 if TYPE_CHECKING:
@@ -41,12 +41,23 @@ def hash_text(table: DataFrame, column: str) -> Column:
     return F.col(stored if stored in table.columns else column)
 
 
-def _distance(ledger: DataFrame, column: str, query_hex: str) -> Column:
-    if len(query_hex) == HASH_BITS // 4:
-        near = hamming64(hash64(ledger, column), hex_to_i64(F.lit(query_hex)))
-        # texts that are no word of 64 bits differ in all digits of the longer one
-        return F.coalesce(near, hamming_hex(hash_text(ledger, column), F.lit(query_hex)))
-    return hamming_hex(hash_text(ledger, column), F.lit(query_hex))
+def _measured(rows: DataFrame, column: str, query_hex: str, max_distance: int | None) -> DataFrame:
+    """Add `distance`, and keep rows within `max_distance`.
+
+    Words of 64 bits are compared as bigints, inside generated code. Texts that are no
+    such word differ in all digits of the longer one, four bits each, so only the few that are
+    left over need more than arithmetic.
+    """
+    text, word = hash_text(rows, column), HASH_BITS // 4
+    near = F.lit(True) if max_distance is None else F.col("distance") <= max_distance
+    if len(query_hex) != word:
+        return rows.withColumn("distance", hamming_hex(text, F.lit(query_hex))).filter(near)
+    whole = rows.withColumn("distance", hamming64(hash64(rows, column), hex_to_i64(F.lit(query_hex))))
+    whole = whole.filter(F.col("distance").isNotNull() & near)
+    if max_distance is not None and max_distance < 4 * word:
+        return whole  # another length is 64 bits away at least
+    odd = rows.filter(hash64(rows, column).isNull()).withColumn("distance", hamming_hex(text, F.lit(query_hex)))
+    return whole.unionByName(odd.filter(F.col("distance").isNotNull() & near))
 
 
 def search_hash(
@@ -74,9 +85,7 @@ def search_hash(
     if trigrams is not None:
         text = hash_text(ledger, column)
         rows = rows.filter(trigram_similarity(text, F.lit(query_hex)) >= trigrams)
-    rows = rows.withColumn("distance", _distance(ledger, column, query_hex or ""))
-    if max_distance is not None:
-        rows = rows.filter(F.col("distance") <= max_distance)
+    rows = _measured(rows, column, query_hex or "", max_distance)
     return rows.orderBy("distance", "asset_id").limit(limit)
 
 
@@ -447,6 +456,104 @@ def search_batch(
     )
 
 
+def _gram_ranks(texts: DataFrame, text: str) -> DataFrame:
+    """(gram, rank): the grams of distinct hex texts, rare ones first.
+
+    Grams of hex digits and blanks: 17^3 at most, whatever the table.
+    """
+    counts = texts.select(F.explode(trigrams(text)).alias("gram")).groupBy("gram").count()
+    order = Window.orderBy("count", "gram")
+    return counts.select("gram", F.row_number().over(order).alias("rank"))
+
+
+def _gram_prefixes(texts: DataFrame, text: str, ranks: DataFrame, threshold: float, tag: str) -> DataFrame:
+    """Each text with its number of grams and the ranks of its rarest ones, one row for each.
+
+    Two texts of similarity t or more share a gram among the rarest n - ceil(t n) + 1 of
+    each (Chaudhuri, Ganti, Kaushik, ICDE 2006). Grams that no target has get rank 0.
+    """
+    grams = texts.select(text, F.explode(trigrams(text)).alias("gram")).join(F.broadcast(ranks), "gram", "left")
+    ranked = grams.groupBy(text).agg(F.sort_array(F.collect_list(F.coalesce("rank", F.lit(0)))).alias("ranks"))
+    size = F.size("ranks")
+    kept = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
+    return ranked.select(
+        text, size.alias(f"size{tag}"), F.col("ranks").alias(f"ranks{tag}"), F.slice("ranks", F.lit(1), kept).alias(f"prefix{tag}")
+    ).select("*", F.explode(F.array_distinct(f"prefix{tag}")).alias("rank"))
+
+
+def trigram_pairs(
+    queries: DataFrame,
+    targets: DataFrame,
+    threshold: float = TRIGRAM_THRESHOLD,
+    max_distance: int | None = None,
+) -> DataFrame:
+    """All (q, t) of distinct lower-case hex texts with that trigram similarity or more.
+
+    A set-similarity join: inverted lists of the rarest grams, sizes that can reach the
+    threshold, then the similarity itself. A pair that several grams bring together is
+    kept by the first, which takes the place of a distinct. With `max_distance` pairs of
+    64-bit words that are further apart are left out before their grams are compared.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a similarity threshold lies above 0 and up to 1")
+    ranks = checkpointed(_gram_ranks(targets, "t"))
+    left = _gram_prefixes(queries, "q", ranks, threshold, "_q").filter("rank > 0")
+    right = _gram_prefixes(targets, "t", ranks, threshold, "_t")
+    fits = F.least("size_q", "size_t") >= F.greatest("size_q", "size_t") * threshold - 1e-9
+    first = F.get(F.array_intersect("prefix_q", "prefix_t"), F.lit(0))
+    # shared grams by rank: comparing the texts here would cut them into grams for every candidate
+    shared = F.size(F.array_intersect("ranks_q", "ranks_t"))
+    alike = shared * (1 + threshold) >= (F.col("size_q") + F.col("size_t")) * threshold - 1e-9
+    if max_distance is not None:
+        left = left.withColumn("q64", _word("q"))
+        right = right.withColumn("t64", _word("t"))
+        fits = fits & F.coalesce(hamming64("q64", "t64") <= max_distance, F.lit(True))
+    # an explicit number of tasks: rows that look few grow into many comparisons
+    tasks = task_count(queries.sparkSession)
+    return (
+        left.repartition(tasks, "rank")
+        .join(right.repartition(tasks, "rank").hint("merge"), "rank")
+        .filter(fits & (first == F.col("rank")) & alike)
+        .select("q", "t")
+    )
+
+
+def _word(text: str) -> Column:
+    """The bigint of a text of 16 hex digits."""
+    return F.when(F.length(text) == HASH_BITS // 4, hex_to_i64(text))
+
+
+def search_trigram_batch(
+    queries: DataFrame,
+    ledger: DataFrame,
+    column: str = "phash",
+    limit: int = SEARCH_LIMIT,
+    max_distance: int = BY_COLUMN,
+    threshold: float = TRIGRAM_THRESHOLD,
+) -> DataFrame:
+    """`search_trigram` for a table of queries: the nearest `limit` rows of each that look alike.
+
+    Queries carry `query_id`, the hash, and optionally `account_id`, which then limits the
+    query to that account. Texts that are no hex match nothing; copies of a text meet once.
+    """
+    if max_distance == BY_COLUMN:
+        max_distance = SEARCH_MAX_DISTANCE.get(column, 10)
+    scoped = "account_id" in queries.columns
+    wanted = [F.col("account_id").alias("_account")] if scoped else []
+    held = [F.col("account_id").alias("_held")] if scoped else []
+    q_rows = queries.select("query_id", F.lower(hash_text(queries, column)).alias("q"), *wanted).filter(is_hex("q"))
+    t_rows = ledger.select("asset_id", F.lower(hash_text(ledger, column)).alias("t"), *held).filter(is_hex("t"))
+    pairs = trigram_pairs(q_rows.select("q").distinct(), t_rows.select("t").distinct(), threshold, max_distance)
+    distance = F.coalesce(hamming64(_word("q"), _word("t")), hamming_hex("q", "t"))
+    near = pairs.withColumn("distance", distance).filter(F.col("distance") <= max_distance)
+    rows = near.join(q_rows, "q").join(t_rows, "t")
+    if scoped:
+        rows = rows.filter(F.col("_account").isNull() | (F.col("_account") == F.col("_held")))
+    order = Window.partitionBy("query_id").orderBy("distance", "asset_id")
+    ranked = rows.select("query_id", "asset_id", "distance").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= limit)
+
+
 def _exact_flips(bounds: list[tuple[int, int]], part: int, radius: int) -> list[dict[str, int]]:
     """Entries of one part with exactly `radius` bits flipped."""
     low, high = bounds[part]

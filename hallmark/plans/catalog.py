@@ -424,6 +424,14 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_named
+def search_trigram_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = derived.suspects(spark, sf_dir).drop("account_id")
+    return search.search_trigram_batch(
+        asked, derived.ledger(spark, sf_dir), limit=3, max_distance=14
+    )
+
+
 @_named
 def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = derived.ledger(spark, sf_dir).withColumn("idx", F.col("ok"))

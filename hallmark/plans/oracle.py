@@ -413,6 +413,15 @@ def oracle_sql() -> dict[str, str]:
                    (select asset_id, {_u64('phash')} t from ledger) y
               where bit_count(xor(x.q, y.t))<=16))
           where rank<=3""",
+        "search_trigram_batch": f"""
+          select query_id, asset_id, distance, rank::INT rank from (
+            select query_id, asset_id, distance, row_number() over (partition by query_id order by distance, asset_id) rank
+            from (select * from (
+              select query_id, asset_id, bit_count(xor(x.q, y.t))::INT distance, x.phash a, y.phash b
+              from (select query_id, phash, {_u64('phash')} q from suspects) x,
+                   (select asset_id, phash, {_u64('phash')} t from ledger) y
+              where bit_count(xor(x.q, y.t))<=14) where {similarity('a', 'b')}>=0.3))
+          where rank<=3""",
         "nearest_match": f"""
           select query_id, case when d<=10 then idx else -1 end match_idx, d distance from (
             select query_id, min(bit_count(xor(x.q, y.t))*10000000000 + ok) best,

@@ -136,6 +136,44 @@ def test_nearest_match_meets_few_candidates(spark):
     assert len(met) > 1 and sum(met) < 0.02 * len(queries) * len(targets)
 
 
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.75, 1.0])
+def test_trigram_pairs_equal_brute_force(spark, threshold):
+    rng = random.Random(17)
+    grams = lambda h: {f"  {h} "[k : k + 3] for k in range(len(h) + 1)}
+    texts = {f"{rng.getrandbits(64):016x}" for _ in range(60)} | {"0" * 16, "0" * 15 + "1", "ab", "abc", "a", "0" * 8}
+    asked = {t[:k] + "7" + t[k + 1 :] for t in sorted(texts) for k in (0, 9, 13) if len(t) == 16} | texts
+    q = spark.createDataFrame([(t,) for t in sorted(asked)], "q string")
+    t = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    got = [tuple(r) for r in search.trigram_pairs(q, t, threshold).collect()]
+    want = {
+        (a, b) for a in asked for b in texts
+        if len(grams(a) & grams(b)) >= threshold * len(grams(a) | grams(b))
+    }
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trigram_batch_equals_single_searches(spark):
+    rng = random.Random(18)
+    words = [rng.getrandbits(64) for _ in range(50)]
+    rows = [(f"a{n}", f"acct{n % 2}", f"{w:016x}") for n, w in enumerate(words + words[:5])] + [("odd", "acct0", "nohex"), ("short", "acct1", "abcd")]
+    ledger = spark.createDataFrame(rows, "asset_id string, account_id string, perceptual_hash_phash string")
+    asked = [(n, None if n % 3 else "acct0", f"{near(rng, w, 5):016X}") for n, w in enumerate(words[:6])] + [(90, None, "zz"), (91, None, None)]
+    queries = spark.createDataFrame(asked, "query_id int, account_id string, phash string")
+    got = search.search_trigram_batch(queries, ledger, limit=2, max_distance=40).collect()
+    for n, account, text in asked[:6]:
+        want = search.search_trigram(ledger, "phash", text, account, limit=2, max_distance=40).collect()
+        assert [(r.asset_id, r.distance) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == n] == [(r.asset_id, r.distance) for r in want]
+    assert not [r for r in got if r.query_id >= 90]
+
+
+def test_the_filter_is_generated_code(small_ledger):
+    for limit in (10, None):
+        found = search.search_hash(small_ledger, "phash", "abcdef0123456789", max_distance=limit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        first = plan[: plan.index("Union")] if "Union" in plan else plan
+        assert all("*(" in line for line in first.split("\n") if "Filter" in line)
+
+
 @pytest.fixture(scope="module")
 def small_ledger(spark):
     rows = [
