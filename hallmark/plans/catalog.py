@@ -802,6 +802,13 @@ def verify_commitments_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_named
+def find_bad_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = checkpointed(_committed(spark, sf_dir))  # it is read level by level
+    found = commitments.find_bad_openings(made, "device_signature", MASTER)
+    return found.select("ok", "device_signature")
+
+
 # --- streams -----------------------------------------------------------------------------------------
 
 

@@ -615,6 +615,7 @@ def oracle_sql() -> dict[str, str]:
           select device_signature, count(*) n_rows,
             sum(case when ok%7=2 then 1 else 0 end)::BIGINT n_bad,
             device_signature not in ('dev-0','dev-2') group_valid from ledger group by device_signature""",
+        "find_bad_openings": "select ok, device_signature from ledger where ok%7=0 or ok%7=2",
         # --- streams
         "rate_limit_windows": """
           select key, strftime(window_start, '%Y-%m-%dT%H:%M:%S.%f') window_start, n requests,
