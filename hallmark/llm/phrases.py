@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -286,48 +287,47 @@ def counted(texts: DataFrame, now: Proposals | None, before: Proposals | None, s
         yield from counts.phrase_rows()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: int | None = None
-        rows: list[dict] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != bucket and rows:
-                    yield _added_up(rows, support)
-                    rows = []
-                bucket = row["bucket"]
-                rows.append(row)
-        if rows:
-            yield _added_up(rows, support)
+            buckets = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if first == end:
+                    continue
+                if held and held[0].column(0)[0].as_py() != buckets[first]:
+                    yield from _added_up(pa.Table.from_batches(held), support)
+                    held = []
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield from _added_up(pa.Table.from_batches(held), support)
 
     return texts.mapInArrow(count, SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, COUNTS)
 
 
-def _added_up(rows: list[dict], support: int) -> pa.RecordBatch:
+def _added_up(rows: pa.Table, support: int) -> Iterator[pa.RecordBatch]:
     """Counts of one bucket."""
+    of_phrases = pc.is_null(rows.column("ones"))
+    border, texts = rows.filter(pc.invert(of_phrases)), rows.filter(of_phrases)
     hashes, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    phrases: dict[tuple[int, str, str], int] = {}
-    for row in rows:
-        if row["ones"] is None:
-            key = row["k"], row["lang"], row["phrase"]
-            phrases[key] = phrases.get(key, 0) + row["n"]
-            continue
-        ones, more = _unpacked(row["ones"]), _unpacked(row["more"])
+    for packed in zip(*[border.column(n).to_pylist() for n in ("ones", "more", "counts")], strict=True):
+        ones, more = _unpacked(packed[0]), _unpacked(packed[1])
         hashes += [ones, more]
-        weights += [np.ones(len(ones), np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64)]
+        weights += [np.ones(len(ones), np.int64), np.frombuffer(packed[2], "<u4").astype(np.int64)]
     kinds, of = np.unique(np.concatenate(hashes), return_inverse=True)
     counts = np.bincount(of, np.concatenate(weights), len(kinds)).astype(np.int64)
     often = counts >= support
-    kinds = W.mixed(kinds[often] | np.uint64(rows[0]["bucket"] << 32)).view(np.int64)
-    kept = [(*key, n) for key, n in phrases.items() if n >= support or key[0] == 0]
-    k, lang, phrase, n = zip(*kept, strict=True) if kept else ((), (), (), ())
-    nothing = [None] * len(kinds)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*nothing, *k], pa.int32()), pa.array([*nothing, *lang], pa.string()),
-            pa.array([*kinds.tolist(), *[None] * len(k)], pa.int64()), pa.array([*nothing, *phrase], pa.string()),
-            pa.array([*counts[often].tolist(), *n], pa.int64()),
-        ],
-        names=["k", "lang", "h", "phrase", "n"],
-    )
+    bucket = rows.column("bucket")[0].as_py()
+    kinds = W.mixed(kinds[often] | np.uint64(bucket << 32)).view(np.int64)
+    nothing = pa.nulls(len(kinds), pa.string())
+    yield _counted(pa.nulls(len(kinds), pa.int32()), nothing, pa.array(kinds), nothing, pa.array(counts[often]))
+    sums = texts.group_by(["k", "lang", "phrase"]).aggregate([("n", "sum")])
+    sums = sums.filter(pc.or_(pc.greater_equal(sums.column("n_sum"), support), pc.equal(sums.column("k"), 0)))
+    k, lang, phrase, n = [sums.column(x).combine_chunks() for x in ("k", "lang", "phrase", "n_sum")]
+    yield _counted(k, lang, pa.nulls(len(sums), pa.int64()), phrase, n)
+
+
+def _counted(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["k", "lang", "h", "phrase", "n"])
 
 
 def _add(counts: _Counts, found: Phrases, names: list[str], new: Proposals, old: Proposals | None, repeated: int) -> None:

@@ -37,7 +37,7 @@ from hallmark.llm.tables import settled
 SHARD_IDS = 1 << 20
 END = 0
 #: Pieces that a worker remembers between slices of texts, and the characters of them all.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 24 << 20
 ENCODED_AT_ONCE = 10_000
 SLICE = 8 << 20
 _HEAD = struct.Struct("<4s7I")
