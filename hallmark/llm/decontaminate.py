@@ -4,10 +4,16 @@ An item of L words is compared with every window of L words of every document, b
 multisets of word shingles; both sides have as many. A document of fewer words is one
 window as a whole, compared exactly with all longer items by a table of which shingles
 stand in which item. A window can only be similar if enough of its shingles occur in
-some item, which a table of the items' shingles tells without loss. The windows left get 128-bit SimHash fingerprints from running sums.
-Items are found by multi-index Hamming blocks: fingerprints within the radius agree in
-one of 16 bytes up to radius/16 bits, so looking up all bytes near a block's misses
-none. What is found is confirmed by exact weighted similarity of the multisets.
+some item, which a table of the items' shingles tells without loss. The windows left get 128-bit
+SimHash fingerprints from running sums. Items are found by multi-index Hamming blocks:
+fingerprints within the radius agree in one of 6 blocks of 21 or 22 bits up to 4 bits.
+Items are posted under all keys within 2 bits of theirs, windows look up all keys within
+2 bits of theirs, so none is missed, and about 1 in 50 unrelated items is met. What is
+found is confirmed by exact weighted similarity of the multisets.
+
+Repeated shingles weigh more in the fingerprint than in the similarity: two multisets may
+be similar and yet at a wide angle. The norms of both bound the angle; where the bound is
+wider than the radius is made for, the window is compared exactly by the items' postings.
 
 The items are sent to the tasks in blocks of bounded size, one pass over the documents
 for each block, so a benchmark of any size keeps to the workers' memory.
@@ -15,8 +21,10 @@ for each block, so a benchmark of any size keeps to the workers' memory.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +36,16 @@ from hallmark.llm.tables import settled
 
 SHINGLE = 5
 SIMILARITY = (80, 100)
-#: At similarity 0.8 fingerprints differ in 19 bits of 128, with a deviation of 4.
-RADIUS = 44
 BITS = 128
-BLOCKS = BITS // 8
+#: Of multisets without repeats, at similarity 0.8, 19 bits differ, with a deviation of 4.
+RADIUS = 29
+#: The least cosine that goes by fingerprints: 21 bits differ, 1 pair in 40 is beyond the radius.
+COSINE = 0.87
+#: Blocks of the fingerprint: with (4 + 1) * 6 > RADIUS, one differs in 4 bits at most.
+CUTS = [0, 21, 42, 63, 84, 106, 128]
+EACH_SIDE = 2
 ITEM_BYTES = 1 << 20
-_NEAR = np.array([[(x ^ y).bit_count() for x in range(256)] for y in range(256)], np.uint8)
+_ONES = np.array([x.bit_count() for x in range(256)], np.uint8)
 
 
 def _signs(shingles: np.ndarray) -> np.ndarray:
@@ -48,6 +60,59 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+def _masks(width: int) -> np.ndarray:
+    """All words of `width` bits with up to EACH_SIDE bits set."""
+    sets = (c for k in range(EACH_SIDE + 1) for c in combinations(range(width), k))
+    return np.array([sum(1 << x for x in c) for c in sets], np.uint32)
+
+
+MASKS = [_masks(b - a) for a, b in zip(CUTS, CUTS[1:], strict=False)]
+
+
+def block_keys(prints: np.ndarray) -> list[np.ndarray]:
+    bits = np.unpackbits(prints, axis=1)
+    return [bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.uint32)) for a, b in zip(CUTS, CUTS[1:], strict=False)]
+
+
+class HammingBlocks:
+    """Multi-index of fingerprints: of each block, the rows posted under all near keys."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.posted: list[tuple[np.ndarray, np.ndarray]] = []
+        for keys, masks in zip(block_keys(prints), MASKS, strict=True):
+            near = (keys[:, None] ^ masks).ravel()
+            order = np.argsort(near, kind="stable")
+            self.posted.append((near[order], order // len(masks)))
+
+    def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item), once each, whose fingerprints are near in some block."""
+        pairs = []
+        for keys, masks, (posted, item) in zip(block_keys(prints), MASKS, self.posted, strict=True):
+            values, row_of = np.unique(keys, return_inverse=True)
+            probes = (values[:, None] ^ masks).ravel()
+            first = np.searchsorted(posted, probes)
+            number = np.searchsorted(posted, probes, "right") - first
+            at = np.arange(int(number.sum())) + np.repeat(first - np.cumsum(number) + number, number)
+            value = np.repeat(np.arange(len(probes)) // len(masks), number)
+            codes = np.unique(value * len(self.prints) + item[at])
+            # Rows of equal keys meet the same items.
+            start = np.searchsorted(codes, np.arange(len(values)) * len(self.prints))
+            many = np.searchsorted(codes, (np.arange(len(values)) + 1) * len(self.prints)) - start
+            each = many[row_of]
+            rows = np.repeat(np.arange(len(prints)), each)
+            take = np.arange(len(rows)) + np.repeat(start[row_of] - np.cumsum(each) + each, each)
+            pairs.append(rows * len(self.prints) + codes[take] % len(self.prints))
+        both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return both // len(self.prints), both % len(self.prints)
+
+    def within(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of fingerprints within the radius."""
+        rows, items = self.met(prints)
+        close = _ONES[prints[rows] ^ self.prints[items]].sum(axis=1, dtype=np.int64) <= radius
+        return rows[close], items[close]
+
+
 @dataclass
 class Item:
     item_id: int
@@ -60,7 +125,7 @@ class Item:
 class ItemIndex:
     """A block of items: their shingles, fingerprints and Hamming blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY):
         words = W.Words(pa.array([t for _, t in items], pa.large_string()))
         hashes = words.hashes()
         self.items: list[Item] = []
@@ -72,10 +137,9 @@ class ItemIndex:
                 flat = W.runs(own, width)
                 self.items.append(Item(item_id, len(own), width, *np.unique(flat, return_counts=True)))
                 prints.append(_signs(flat).sum(axis=0))
-        self.radius = radius
         self.prints = fingerprints(np.array(prints).reshape(-1, BITS))
-        # near[b, v]: items whose byte b is within radius/16 bits of v.
-        self.near = np.array([_NEAR[:, self.prints[:, b]] <= radius // BLOCKS for b in range(BLOCKS)])
+        self.norms = np.array([_widest(item.counts, similarity) for item in self.items])
+        self.blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, HammingBlocks, float]] = {}
         self.by_words: dict[tuple[int, int], np.ndarray] = {}
         for k, item in enumerate(self.items):
             self.by_words.setdefault((item.words, item.size), []).append(k)  # type: ignore[arg-type]
@@ -113,15 +177,32 @@ class ItemIndex:
         found[at] = _within(shingles[at], self.known[size])
         return found
 
-    def candidates(self, prints: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of fingerprints within the radius, by multi-index lookup."""
-        able = np.zeros((len(prints), len(among)), bool)
-        for b in range(BLOCKS):
-            able |= self.near[b][prints[:, b]][:, among]
-        rows, cols = np.nonzero(able)
-        apart = _NEAR[prints[rows], self.prints[among[cols]]].sum(axis=1, dtype=np.int64)
-        close = apart <= self.radius
-        return rows[close], among[cols[close]]
+    def group(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, HammingBlocks, float]:
+        """Items of a length: those without a useful fingerprint, the others, their
+        multi-index, and the largest squared norm of a window that it is good for."""
+        if (length, width) not in self.blocks:
+            among = self.by_words[length, width]
+            able = self.norms[among] >= length - width + 1
+            index = HammingBlocks(self.prints[among[able]])
+            self.blocks[length, width] = (among[~able], among[able], index, float(self.norms[among[able]].min(initial=np.inf)))
+        return self.blocks[length, width]
+
+
+def _widest(counts: np.ndarray, similarity: tuple[int, int]) -> float:
+    """Squared norm up to which a similar window is within the angle of COSINE.
+
+    A similar window shares `least` of the weight. What is shared has a product of at
+    least the sum of its squared counts, which is smallest if the heaviest counts lose.
+    """
+    many, of = similarity
+    total = int(counts.sum())
+    least = -(-2 * many * total // (many + of))
+    # Counts above the level t are cut to it: the sum of min(count, t) must reach `least`.
+    t = 1 + bisect_left(range(1, int(counts.max()) + 1), least, key=lambda t: int(np.minimum(counts, t).sum()))
+    cut = np.minimum(counts, t)
+    over = int(cut.sum()) - least  # so many more counts of t lose one
+    product = int((cut * cut).sum()) - over * (2 * t - 1)
+    return (product / COSINE) ** 2 / float((counts * counts).sum())
 
 
 def _slots(values: np.ndarray) -> np.ndarray:
@@ -182,30 +263,66 @@ def _in_text(index: ItemIndex, size: int, row: int, flat: np.ndarray, hits: np.n
         joint = index.spans + len(flat) - both
         for k in np.flatnonzero((both > 0) & (index.spans > len(flat)) & (of * both >= many * joint)).tolist():
             found.append((row, index.items[k].item_id, 0, len(flat) + size - 1, 1, int(both[k]) / int(joint[k])))
-    for (length, width), among in index.by_words.items():
+    for length, width in index.by_words:
         span = length - width + 1
         if width != size or span > len(flat):
             continue
         # shared / (2 * span - shared) must reach the similarity.
         shared = total[span:] - total[:-span]
         starts = np.flatnonzero((many + of) * shared >= 2 * many * span)
+        if not len(starts):
+            continue
+        wide, able, blocks, norm = index.group(length, width)
         best: dict[int, tuple[float, int, int]] = {}
+
+        def seen(k_item: int, start: int, both: int, best: dict[int, tuple[float, int, int]] = best, span: int = span) -> None:
+            if of * both >= many * (2 * span - both):
+                old, where, windows = best.get(k_item, (-1.0, 0, 0))
+                value = both / (2 * span - both)
+                best[k_item] = (value, start, windows + 1) if value > old else (old, where, windows + 1)
+
+        loose = _norms(flat, starts, span) > norm
         for k in range(0, len(starts), 2048):
-            part = starts[k : k + 2048]
+            part = starts[k : k + 2048][~loose[k : k + 2048]]
+            if not len(part) or not len(able):
+                continue
             first, end = int(part[0]), int(part[-1]) + span
             sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(_signs(flat[first:end]), axis=0)))
             prints = fingerprints(sums[part - first + span] - sums[part - first])
-            for at, k_item in zip(*index.candidates(prints, among), strict=True):
+            for at, item in zip(*blocks.within(prints), strict=True):
                 start = int(part[at])
-                both, joint = similarity_of(index.items[k_item], flat[start : start + span])
-                if of * both >= many * joint:
-                    old, where, windows = best.get(k_item, (-1.0, 0, 0))
-                    value = both / joint
-                    best[k_item] = (value, start, windows + 1) if value > old else (old, where, windows + 1)
+                seen(int(able[item]), start, similarity_of(index.items[able[item]], flat[start : start + span])[0])
+        # Windows and items whose repeats allow a wide angle are compared exactly.
+        last, both = -2, np.zeros(0, np.int64)
+        for start, free in zip(starts.tolist(), loose.tolist(), strict=True):
+            if free or len(wide):
+                if last != start - 1 or flat[last] != flat[last + span]:
+                    both = index.shared(flat[start : start + span], size)
+                last = start
+                among = index.by_words[length, width] if free else wide
+                for k_item in among[of * both[among] >= many * (2 * span - both[among])].tolist():
+                    seen(k_item, start, int(both[k_item]))
         found += [(row, index.items[k].item_id, s, length, n, v) for k, (v, s, n) in best.items()]
     return found
 
 
+def _norms(flat: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Squared norms of the counts of the windows at `starts`."""
+    order = np.argsort(flat, kind="stable")
+    again = np.zeros(len(flat) + 1, np.int64)
+    same = flat[order[1:]] == flat[order[:-1]]
+    again[1 + order[1:][same]] = (order[1:] - order[:-1])[same] < span
+    again = np.cumsum(again)
+    norms = np.full(len(starts), span, np.int64)
+    last, old = -2, 0
+    for k in np.flatnonzero(again[starts + span] - again[starts]).tolist():
+        start = int(starts[k])
+        if last != start - 1 or flat[last] != flat[last + span]:
+            old = int((np.unique(flat[start : start + span], return_counts=True)[1] ** 2).sum())
+        norms[k], last = old, start
+    return norms
+
+
 def item_blocks(items: DataFrame, size: int = ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items (item_id, text) in blocks of bounded text; null and empty ones are left out."""
     block, held = [], 0
@@ -229,6 +346,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similar
     One row for each row of `docs` and item of which it has a similar window: its first
     word (from 0), its words, how many windows are similar, and the best similarity. A
     text of fewer words than an item is one window as a whole.
+    Pairs of windows and items at the very threshold may be missed by their fingerprints,
+    1 in 40 at most; repeated shingles raise that by nothing.
     Texts and items that are null or have no words match nothing; items of fewer words
     than a shingle are matched as whole sequences; repeated documents and items are
     reported as often. Only doc_id, item_id and the texts are read.
@@ -239,7 +358,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similar
     for block in item_blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block, size)
+            index = ItemIndex(block, size, similarity)
             for batch in batches:
                 for first, texts in W.slices(batch.column(1)):
                     out = matches(index, texts, similarity)
@@ -254,13 +373,16 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similar
 
 
 def without_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of `docs` that hold no item, with all columns."""
+    """The rows of `docs` that hold no item, with all columns.
+
+    Rows whose text is null or has no words stay; repeated rows stay or go together.
+    """
     settled(docs.sparkSession)
     at = docs.columns.index("text")
     for block in item_blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block, size)
+            index = ItemIndex(block, size, similarity)
             for batch in batches:
                 clean = np.ones(len(batch), bool)
                 for first, texts in W.slices(batch.column(at)):

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hallmark.llm import decontaminate, licenses
@@ -107,6 +108,50 @@ def test_texts_shorter_than_an_item_equal_brute_force(spark):
     assert {x.doc_id for x in decontaminate.without_items(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in right}
 
 
+def test_repeated_shingles_are_found_as_by_brute_force(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(2000)]
+
+    def some(n):
+        return [r.choice(vocabulary) for _ in range(n)]
+
+    items, docs = [], []
+    for k in range(12):
+        item = some(164) + ["same"] * 24 if k % 2 else some(60) + ["|"] * 60 + some(70)
+        items.append((k, " ".join(item)))
+        for n in range(8):
+            # Other words stand where equal ones did, or equal ones where others did.
+            leak = item[:-n] + some(n) if n and k % 2 else item[n:]
+            if n % 3 == 2:
+                leak[10 : 10 + n] = ["again"] * n
+            docs.append((10 * k + n, " ".join(some(9) + leak + some(9))))
+    docs += [(900, "| " * 20_000), (901, " ".join(some(60) + ["|"] * 3000 + some(70)))]
+    right = best_windows([d for d in docs if d[0] != 900], items)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.n_windows for x in decontaminate.contaminated(table, bench).collect()}
+    assert len(right) > 60 and set(got) <= set(right)
+    windows = sum(n for _, _, n, _ in right.values())
+    assert sum(got.values()) >= 0.97 * windows and len(got) >= 0.99 * len(right)
+
+
+def test_hamming_blocks_miss_nothing_and_meet_few():
+    r = np.random.default_rng(3)
+    items = r.integers(0, 256, (400, 16), dtype=np.uint8)
+    rows = r.integers(0, 256, (200, 16), dtype=np.uint8)
+    near = items[:200].copy()
+    for k, row in enumerate(near):
+        for bit in r.choice(128, k % (decontaminate.RADIUS + 4), replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    index = decontaminate.HammingBlocks(items)
+    met = index.met(rows)
+    assert len(met[0]) < 0.05 * len(rows) * len(items) and len(set(zip(*met, strict=True))) == len(met[0])
+    both = np.concatenate((rows, near, near[:5]))
+    apart = np.unpackbits(both[:, None] ^ items, axis=2).sum(axis=2)
+    right = set(zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True))
+    assert set(zip(*index.within(both), strict=True)) == right and len(right) > 150
+
+
 def test_item_blocks_are_bounded_and_whole(spark):
     bench = spark.createDataFrame([(k, "ab" * k) for k in range(20)], "item_id long, text string")
     blocks = list(decontaminate.item_blocks(bench, 50))
