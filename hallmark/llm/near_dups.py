@@ -247,10 +247,11 @@ def first_of_each(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
     all stay.
     """
     found = near_duplicates(docs, size, similarity).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
-    ids = ids.where("_kept").select(F.col("doc_id").alias("_id"), "_rows")
-    firsts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"))
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), F.col("text"))
-    again = firsts.where("_rows > 1").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    stay = firsts.where("_rows = 1").select(docs.columns).union(again.select(docs.columns))
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("first"), F.count("*").alias("rows"))
+    # The user's columns go through the join as one, so no name can clash.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
+    firsts = rows.join(ids.where("first").drop("first"), "id")
+    order = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"), F.col("doc.text"))
+    again = firsts.where("rows > 1").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    stay = firsts.where("rows = 1").select("doc.*").union(again.select("doc.*"))
     return stay.union(docs.where("doc_id is null"))

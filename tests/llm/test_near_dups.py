@@ -77,6 +77,19 @@ def test_copies_nulls_and_empty_tables(spark):
     assert sorted((r.doc_id for r in stay.collect()), key=str) == [2, 9, None]
 
 
+def test_first_of_each_keeps_columns_of_any_name(spark):
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "z y x w v u"), (None, "a"), (8, "p q r s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["_id", "_rows", "_kept", "_nth", "id", "rows", "first", "nth", "doc", "kept", "a.b"]
+    for n, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(n))
+    stay = first_of_each(docs)
+    assert stay.columns == ["doc_id", "text", *names]
+    found = stay.collect()
+    assert sorted((r.doc_id for r in found), key=str) == [1, 8, None]
+    assert all(list(r)[2:] == list(range(len(names))) for r in found)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (500, 500), (None, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
