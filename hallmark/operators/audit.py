@@ -9,6 +9,11 @@ from ..functions import b64url_decode, b64url_encode, chain_hash, derive_subkey,
 from ..settings import KEY_NAMESPACE
 
 
+def has_mismatch() -> Column:
+    """Whether the stored chain hash is not the hash of the row's own columns."""
+    return ~F.col("chain_of_custody_hash").eqNullSafe(chain_hash())
+
+
 def chain_mismatches(ledger: DataFrame) -> DataFrame:
     """Rows whose stored chain hash is not the hash of their own columns."""
     return (

@@ -585,6 +585,10 @@ def oracle_sql() -> dict[str, str]:
           select account_id||'-t' account_id, count(*) mismatches from ledger
           where ok%97=0 group by account_id""",
         "chain_mismatches": "select asset_id, account_id||'-t' account_id from ledger where ok%97=0",
+        "audit_sealed": """
+          select strftime(creation_timestamp, '%Y-%m') created_month, 'new' status, count(*)::bigint n_rows,
+            count_if(ok%97=0)::bigint mismatches
+          from ledger where ok%2<>0 group by 1""",
         "rate_limit_audit": """
           select event_id, key, strftime(window_start, '%Y-%m-%dT%H:%M:%S.%f') window_start, rn>4 over_limit from (
             select event_id, event_type key, date_trunc('hour', ts) window_start,
