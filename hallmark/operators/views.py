@@ -123,6 +123,18 @@ def list_all(ledger: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return ledger.orderBy(*_newest_first()).offset(offset).limit(limit)
 
 
+def list_after(
+    ledger: DataFrame, created_at: Column, asset_id: str, limit: int = 100
+) -> DataFrame:
+    """The page that follows a row, newest first: each task hands on `limit` rows at most.
+
+    For one account, filter the ledger by it. The time bound reaches the scan.
+    """
+    at = F.col("created_at")
+    later = (at < created_at) | ((at == created_at) & (F.col("asset_id") > asset_id))
+    return ledger.filter((at <= created_at) & later).orderBy(*_newest_first()).limit(limit)
+
+
 def validate_queries(queries: DataFrame) -> DataFrame:
     """Add `error_code` (null when fine) and `searchable` to a query table.
 

@@ -41,7 +41,7 @@ from ..settings import HASHES
 from ..sources import images as image_source
 from ..sources import ledger as ledger_source
 from ..sources import manifests as manifest_source
-from ..sources import seals
+from ..sources import pages, seals
 from ..sources.index import MatchIndex, build_index
 from ..streaming import match_stream, rate_limit_stream, register_stream, replay_stream
 from . import derived
@@ -148,6 +148,38 @@ def list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(views.entry_view(page))
 
 
+def _halves(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    even = F.col("ok") % 2 == 0
+    return ledger.where(even), ledger.where(~even)
+
+
+def _stored_rows(ledger: DataFrame, path: str) -> None:
+    """Append rows to the files of a ledger as they are."""
+    month = F.date_format("creation_timestamp", "yyyy-MM")
+    rows = ledger.drop("ok").withColumn("created_month", month).hint("rebalance", "created_month")
+    rows.write.mode("append").partitionBy("created_month").parquet(f"{path}/rows")
+
+
+@_named
+def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page in the middle; the directory knows half of the ledger's files."""
+    path = f"{shared_dir(spark)}/paged-{uuid.uuid4().hex}"
+    even, odd = _halves(derived.ledger(spark, sf_dir))
+    _stored_rows(even, path)
+    pages.update_pages(spark, path)
+    _stored_rows(odd, path)
+    return _flat(views.entry_view(pages.list_page(spark, path, limit=50, offset=700)))
+
+
+@_named
+def list_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind the row with the smallest id."""
+    ledger = derived.ledger(spark, sf_dir)
+    row = ledger.orderBy("asset_id").select("created_at", "asset_id").first()
+    page = views.list_after(ledger, F.lit(row.created_at), row.asset_id, 50)
+    return _flat(views.entry_view(page))
+
+
 @_named
 def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = views.current_version(derived.versions(spark, sf_dir))
@@ -743,15 +775,10 @@ def chain_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the ledger is sealed, the other half comes later: only that is audited."""
     path = f"{shared_dir(spark)}/sealed-{uuid.uuid4().hex}"
-    rows = derived.tampered(spark, sf_dir).withColumn(
-        "created_month", F.date_format("creation_timestamp", "yyyy-MM")
-    )
-    first = F.col("ok") % 2 == 0
-    for part in (first, ~first):
-        dealt_rows = rows.where(part).drop("ok").hint("rebalance", "created_month")
-        dealt_rows.write.mode("append").partitionBy("created_month").parquet(f"{path}/rows")
-        if part is first:
-            seals.seal(spark, path, MASTER)
+    even, odd = _halves(derived.tampered(spark, sf_dir))
+    _stored_rows(even, path)
+    seals.seal(spark, path, MASTER)
+    _stored_rows(odd, path)
     return (
         seals.audit_sealed(spark, path, MASTER)
         .groupBy("created_month", "status")

@@ -307,6 +307,12 @@ def oracle_sql() -> dict[str, str]:
           order by ledger.created_at desc, asset_id limit 5 offset 1""",
         "list_all": f"""select {entry} from ledger
           order by ledger.created_at desc, asset_id limit 50 offset 20""",
+        "list_page": f"""select {entry} from ledger
+          order by ledger.created_at desc, asset_id limit 50 offset 700""",
+        "list_after": f"""select {entry} from ledger
+          where (epoch_us(ledger.created_at), asset_id) <> (select (epoch_us(l.created_at), l.asset_id) from ledger l order by l.asset_id limit 1)
+            and ledger.created_at <= (select l.created_at from ledger l order by l.asset_id limit 1)
+          order by ledger.created_at desc, asset_id limit 50""",
         "current_version": """
           select asset_id, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') updated_at, notes from (
             select *, row_number() over (partition by asset_id order by updated_at desc) rn

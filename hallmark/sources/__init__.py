@@ -11,6 +11,7 @@ from .ledger import (
     register,
 )
 from .manifests import manifest_lookup, read_manifests
+from .pages import list_page, update_pages
 from .seals import audit_sealed, month_digests, read_seals, seal
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -49,7 +49,7 @@ def _text(field: T.StructField) -> Column:
     return F.coalesce(F.concat(F.length(value), F.lit(":"), value), F.lit("-"))
 
 
-def _file(path: Column) -> Column:
+def file_name(path: Column) -> Column:
     """A data file's place below the ledger's rows."""
     return F.regexp_extract(path, "([^/]+/[^/]+)$", 1)
 
@@ -67,7 +67,7 @@ def sealed_ranges(rows: DataFrame, key: bytes) -> DataFrame:
     place = F.col("_metadata.row_index")
     tagged = rows.select(
         "created_month",
-        _file(F.col("_metadata.file_path")).alias("file"),
+        file_name(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_size").alias("bytes"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.floor(place / RANGE_ROWS).alias("range"),
@@ -103,7 +103,7 @@ def ledger_files(spark: SparkSession, path: str) -> DataFrame:
         .load(f"{path}/rows")
     )
     return listed.select(
-        _file(F.col("path")).alias("file"), "path", F.col("length").alias("bytes"),
+        file_name(F.col("path")).alias("file"), "path", F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified"),
     )
 
@@ -118,7 +118,7 @@ def _standing(spark: SparkSession, path: str, seals: DataFrame) -> DataFrame:
     return ledger_files(spark, path).join(files, "file", "full").select("file", "path", standing.alias("standing"))
 
 
-def _read(spark: SparkSession, path: str, files: DataFrame) -> DataFrame | None:
+def read_files(spark: SparkSession, path: str, files: DataFrame) -> DataFrame | None:
     """Ledger rows of `files`. Their names pass the driver, whose list of files holds them anyway."""
     names = [r.path for r in files.select("path").distinct().toLocalIterator()]
     if not names:
@@ -130,7 +130,7 @@ def seal(spark: SparkSession, path: str, key: bytes, accept_changes: bool = Fals
     """Seal the files that have no seals yet; with `accept_changes` changed ones anew as well."""
     wanted = ["new", "changed"] if accept_changes else ["new"]
     standing = _standing(spark, path, read_seals(spark, path, key))
-    rows = _read(spark, path, standing.where(F.col("standing").isin(wanted)))
+    rows = read_files(spark, path, standing.where(F.col("standing").isin(wanted)))
     if rows is not None:
         made = sealed_ranges(rows, key).withColumn("sealed_at", F.current_timestamp())
         made.withColumn("mac", _mac(key)).select(_SEALS.fieldNames()).coalesce(1).write.mode("append").parquet(f"{path}/seals")
@@ -152,7 +152,7 @@ def audit_sealed(spark: SparkSession, path: str, key: bytes, reread: list[str] |
     old = seals.join(standing.select("file"), "file", "left_semi").select(
         "created_month", "file", "range", F.col("digest").alias("was"), F.col("n_rows").alias("had")
     )
-    rows = _read(spark, path, standing.where("path is not null"))
+    rows = read_files(spark, path, standing.where("path is not null"))
     now = spark.createDataFrame([], _SEALS) if rows is None else sealed_ranges(rows, key)
     status = F.when(F.col("digest").isNull(), "missing").when(F.col("was").isNull(), "new").when(F.col("digest") != F.col("was"), "changed")
     found = now.select("created_month", "file", "range", "digest", "n_rows", "mismatches").join(
