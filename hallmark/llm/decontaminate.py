@@ -79,22 +79,26 @@ class HammingBlocks:
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.posted: list[tuple[np.ndarray, np.ndarray]] = []
+        self.posted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for keys, masks in zip(block_keys(prints), MASKS, strict=True):
             near = (keys[:, None] ^ masks).ravel()
             order = np.argsort(near, kind="stable")
-            self.posted.append((near[order], order // len(masks)))
+            there = np.zeros(1 << int(masks.max()).bit_length(), bool)
+            there[near] = True
+            self.posted.append((there, near[order], order // len(masks)))
 
     def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item), once each, whose fingerprints are near in some block."""
         pairs = []
-        for keys, masks, (posted, item) in zip(block_keys(prints), MASKS, self.posted, strict=True):
+        for keys, masks, (there, posted, item) in zip(block_keys(prints), MASKS, self.posted, strict=True):
             values, row_of = np.unique(keys, return_inverse=True)
             probes = (values[:, None] ^ masks).ravel()
+            able = np.flatnonzero(there[probes])
+            probes = probes[able]
             first = np.searchsorted(posted, probes)
             number = np.searchsorted(posted, probes, "right") - first
             at = np.arange(int(number.sum())) + np.repeat(first - np.cumsum(number) + number, number)
-            value = np.repeat(np.arange(len(probes)) // len(masks), number)
+            value = np.repeat(able // len(masks), number)
             codes = np.unique(value * len(self.prints) + item[at])
             # Rows of equal keys meet the same items.
             start = np.searchsorted(codes, np.arange(len(values)) * len(self.prints))
@@ -139,7 +143,6 @@ class ItemIndex:
                 prints.append(_signs(flat).sum(axis=0))
         self.prints = fingerprints(np.array(prints).reshape(-1, BITS))
         self.norms = np.array([_widest(item.counts, similarity) for item in self.items])
-        self.blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, HammingBlocks, float]] = {}
         self.by_words: dict[tuple[int, int], np.ndarray] = {}
         for k, item in enumerate(self.items):
             self.by_words.setdefault((item.words, item.size), []).append(k)  # type: ignore[arg-type]
@@ -151,6 +154,13 @@ class ItemIndex:
         self.slots = {s: _slots(x) for s, x in self.known.items()}
         self.spans = np.array([item.words - item.size + 1 for item in self.items], np.int64)
         self.postings = {s: self._postings(s) for s in self.sizes}
+        # Items of a length without a useful fingerprint; the others' multi-index, by shingle size;
+        # the largest squared norm of a window that fingerprints are good for.
+        useful = self.norms >= self.spans
+        self.wide = {k: v[~useful[v]] for k, v in self.by_words.items()}
+        self.norm = {k: float(self.norms[v[useful[v]]].min(initial=np.inf)) for k, v in self.by_words.items()}
+        self.able = {s: np.array([k for k, item in enumerate(self.items) if item.size == s and useful[k]], np.int64) for s in self.sizes}
+        self.blocks = {s: HammingBlocks(self.prints[k]) for s, k in self.able.items()}
 
     def _postings(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shingles, ascending, with the item that each stands in and how often."""
@@ -177,16 +187,6 @@ class ItemIndex:
         found[at] = _within(shingles[at], self.known[size])
         return found
 
-    def group(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, HammingBlocks, float]:
-        """Items of a length: those without a useful fingerprint, the others, their
-        multi-index, and the largest squared norm of a window that it is good for."""
-        if (length, width) not in self.blocks:
-            among = self.by_words[length, width]
-            able = self.norms[among] >= length - width + 1
-            index = HammingBlocks(self.prints[among[able]])
-            self.blocks[length, width] = (among[~able], among[able], index, float(self.norms[among[able]].min(initial=np.inf)))
-        return self.blocks[length, width]
-
 
 def _widest(counts: np.ndarray, similarity: tuple[int, int]) -> float:
     """Squared norm up to which a similar window is within the angle of COSINE.
@@ -253,7 +253,7 @@ def matches(index: ItemIndex, texts: pa.Array, similarity: tuple[int, int] = SIM
     return found
 
 
-def _in_text(index: ItemIndex, size: int, row: int, flat: np.ndarray, hits: np.ndarray, many: int, of: int) -> list[tuple[int, int, int, int, int, float]]:
+def _in_text(index: ItemIndex, size: int, row_of: int, flat: np.ndarray, hits: np.ndarray, many: int, of: int) -> list[tuple[int, int, int, int, int, float]]:
     found = []
     total = np.concatenate(([0], np.cumsum(hits)))
     # Longer items meet the whole text: shared / (span + text - shared) must reach the similarity.
@@ -262,7 +262,18 @@ def _in_text(index: ItemIndex, size: int, row: int, flat: np.ndarray, hits: np.n
         both = index.shared(flat, size)
         joint = index.spans + len(flat) - both
         for k in np.flatnonzero((both > 0) & (index.spans > len(flat)) & (of * both >= many * joint)).tolist():
-            found.append((row, index.items[k].item_id, 0, len(flat) + size - 1, 1, int(both[k]) / int(joint[k])))
+            found.append((row_of, index.items[k].item_id, 0, len(flat) + size - 1, 1, int(both[k]) / int(joint[k])))
+    best: dict[int, tuple[float, int, int]] = {}
+
+    def seen(k_item: int, start: int, both: int) -> None:
+        span = int(index.spans[k_item])
+        if of * both >= many * (2 * span - both):
+            old, where, windows = best.get(k_item, (-1.0, 0, 0))
+            value = both / (2 * span - both)
+            better = (-value, start) < (-old, where)
+            best[k_item] = (value, start, windows + 1) if better else (old, where, windows + 1)
+
+    able, queued = index.able[size], []
     for length, width in index.by_words:
         span = length - width + 1
         if width != size or span > len(flat):
@@ -272,26 +283,10 @@ def _in_text(index: ItemIndex, size: int, row: int, flat: np.ndarray, hits: np.n
         starts = np.flatnonzero((many + of) * shared >= 2 * many * span)
         if not len(starts):
             continue
-        wide, able, blocks, norm = index.group(length, width)
-        best: dict[int, tuple[float, int, int]] = {}
-
-        def seen(k_item: int, start: int, both: int, best: dict[int, tuple[float, int, int]] = best, span: int = span) -> None:
-            if of * both >= many * (2 * span - both):
-                old, where, windows = best.get(k_item, (-1.0, 0, 0))
-                value = both / (2 * span - both)
-                best[k_item] = (value, start, windows + 1) if value > old else (old, where, windows + 1)
-
+        wide, norm = index.wide[length, width], index.norm[length, width]
         loose = _norms(flat, starts, span) > norm
-        for k in range(0, len(starts), 2048):
-            part = starts[k : k + 2048][~loose[k : k + 2048]]
-            if not len(part) or not len(able):
-                continue
-            first, end = int(part[0]), int(part[-1]) + span
-            sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(_signs(flat[first:end]), axis=0)))
-            prints = fingerprints(sums[part - first + span] - sums[part - first])
-            for at, item in zip(*blocks.within(prints), strict=True):
-                start = int(part[at])
-                seen(int(able[item]), start, similarity_of(index.items[able[item]], flat[start : start + span])[0])
+        if norm < np.inf:
+            queued += [(span, part) for part in np.split(starts[~loose], range(2048, int((~loose).sum()), 2048)) if len(part)]
         # Windows and items whose repeats allow a wide angle are compared exactly.
         last, both = -2, np.zeros(0, np.int64)
         for start, free in zip(starts.tolist(), loose.tolist(), strict=True):
@@ -302,8 +297,27 @@ def _in_text(index: ItemIndex, size: int, row: int, flat: np.ndarray, hits: np.n
                 among = index.by_words[length, width] if free else wide
                 for k_item in among[of * both[among] >= many * (2 * span - both[among])].tolist():
                     seen(k_item, start, int(both[k_item]))
-        found += [(row, index.items[k].item_id, s, length, n, v) for k, (v, s, n) in best.items()]
-    return found
+    # Windows of all lengths are looked up together, a few thousand at a time.
+    while queued:
+        parts, held = [], 0
+        while queued and held < 4096:
+            parts.append(queued.pop(0))
+            held += len(parts[-1][1])
+        spans = np.concatenate([np.full(len(part), span) for span, part in parts])
+        begins = np.concatenate([part for _, part in parts])
+        rows, items = index.blocks[size].within(np.concatenate([_prints(flat, part, span) for span, part in parts]))
+        same = index.spans[able[items]] == spans[rows]
+        for row, k_item in zip(rows[same].tolist(), able[items[same]].tolist(), strict=True):
+            start, span = int(begins[row]), int(spans[row])
+            seen(k_item, start, similarity_of(index.items[k_item], flat[start : start + span])[0])
+    return found + [(row_of, index.items[k].item_id, s, int(index.items[k].words), n, v) for k, (v, s, n) in best.items()]
+
+
+def _prints(flat: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Fingerprints of the windows at `starts`."""
+    first, end = int(starts[0]), int(starts[-1]) + span
+    sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(_signs(flat[first:end]), axis=0)))
+    return fingerprints(sums[starts - first + span] - sums[starts - first])
 
 
 def _norms(flat: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
