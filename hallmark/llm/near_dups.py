@@ -194,33 +194,34 @@ def _missing(bits: str, other: str) -> Column:
 def _links(classes: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Confirmed links (a, b) that join all classes which any confirmed candidate joins."""
     many, of = similarity
-    banded = classes.select("id", "n", "set_key", F.posexplode("bands").alias("band", "mark"))
-    shared = banded.groupBy("band", "mark").agg(
-        F.min(F.struct("id", "n", "set_key")).alias("first"), F.count("*").alias("members")
-    )
-    shared = shared.where("members > 1").select("band", "mark", "first")
-    members = step(banded.join(shared, ["band", "mark"]))
+    # One long names a band's mark: two that meet by chance are only compared in vain.
+    # The groups and their members come from one exchange.
+    banded = classes.select("id", F.posexplode("bands").alias("band", "mark")).select(
+        "id", F.xxhash64("band", "mark").alias("mark")
+    ).repartition("mark")
+    shared = banded.groupBy("mark").agg(F.min("id").alias("first"), F.count("*").alias("members"))
+    members = step(banded.join(shared.where("members > 1").drop("members"), "mark"))
+    # All that may have to be compared is fetched by one shuffle of the texts.
+    texts = step(_texts(docs).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id"))
+    sizes = classes.select("id", "n", "set_key")
     fits = f"{of} * least(n, other_n) >= {many} * greatest(n, other_n)"
-    stars = (
-        members.select(
-            F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.set_key").alias("key_a"),
-            F.col("set_key").alias("key_b"), "n", F.col("first.n").alias("other_n"),
-        )
-        .where("a <> b")
+    stars = step(
+        members.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+        .join(sizes.toDF("a", "other_n", "key_a"), "a")
+        .join(sizes.toDF("b", "n", "key_b"), "b")
         .where(fits)
         .select("a", "b", "key_a", "key_b")
-        .distinct()
     )
-    near = step(confirmed(stars, docs, size, similarity))
+    near = step(confirmed(stars, texts, size, similarity))
     named = components(near).withColumnsRenamed({"node": "id", "component": "via"})
     apart = members.drop("first").join(named, "id", "left").withColumn("via", F.coalesce("via", "id"))
-    split = apart.groupBy("band", "mark").agg(F.min("via").alias("low"), F.max("via").alias("high"))
-    split = split.where("low <> high").select("band", "mark")
-    open_ = step(apart.join(split, ["band", "mark"], "left_semi"))
+    split = apart.groupBy("mark").agg(F.min("via").alias("low"), F.max("via").alias("high"))
+    split = split.where("low <> high").select("mark")
+    open_ = step(apart.join(split, "mark", "left_semi"))
     flat = [F.col("bits")[k].alias(f"bits{k}") for k in range(BITMAP_WORDS)]
-    open_ = open_.join(classes.select("id", *flat), "id")
+    open_ = open_.join(classes.select("id", "n", "set_key", *flat), "id")
     other = open_.select(
-        "band", "mark", F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("set_key").alias("key_b"),
+        "mark", F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("set_key").alias("key_b"),
         F.col("via").alias("other_via"), *[F.col(f"bits{k}").alias(f"other{k}") for k in range(BITMAP_WORDS)],
     )
     # What both can share, at most, is what one has less what the other misses of it.
@@ -230,13 +231,13 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, similarity: tuple[int
     able &= (many + of) * (F.col("other_n") - _missing("other", "bits")) >= need
     across = (
         open_.withColumnRenamed("set_key", "key_a")
-        .join(other, ["band", "mark"])
+        .join(other, "mark")
         .where(able)
         .select(F.col("id").alias("a"), "b", "key_a", "key_b")
         .distinct()
         .join(stars.select("a", "b"), ["a", "b"], "left_anti")
     )
-    return near.union(step(confirmed(step(across), docs, size, similarity)))
+    return near.union(step(confirmed(step(across), texts, size, similarity)))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
