@@ -7,7 +7,8 @@ the count where that token begins: one pass gives the exact count of every prefi
 
 No token of the vocabulary goes on after a word into white space, so a text is cut into
 units (white space and the word behind it) whose counts add up. A worker remembers the
-counts of the units it met. Truncation and budget questions are answered from the
+counts of the units it met, in two generations: when the newer one is full it becomes the
+older, and units met again move on. Truncation and budget questions are answered from the
 counts, without encoding again.
 
 Vocabulary files are `sentencepiece` BPE models with byte fallback, identity
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from hallmark.llm import words as W
 from hallmark.llm.tables import settled
 
-#: Units, and pairs of tokens, that a worker remembers.
-REMEMBERED = 500_000
+#: Units of a generation, and pairs of tokens, that a worker remembers; and their characters.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 16 << 20
 SPACE = "▁"
 
 
@@ -64,8 +65,9 @@ class PrefixCounter:
         self.sizes = {tail: sorted(found, reverse=True) for tail, found in sizes.items()}
         self.fit: dict[str, dict[str, bool]] = {}
         self.fits_known = 0
-        self.known: dict[str, array[int]] = {}
         self.total: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.chars = 0
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: best score first, then leftmost."""
@@ -114,29 +116,52 @@ class PrefixCounter:
 
     def units(self, text: str) -> list[str]:
         """Units of a text behind its dummy prefix; their counts add up."""
-        if not text:
-            return []
-        units = self.unit.findall(SPACE + text.replace(" ", SPACE))
+        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def totals(self, units: list[str]) -> list[int]:
+        """Token count of each unit."""
         fresh = set(units).difference(self.total)
         if fresh:
-            if len(self.total) + len(fresh) > REMEMBERED:
-                self.total.clear()
-                self.known.clear()
+            if len(self.total) + len(fresh) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+                self.older, self.total, self.chars = self.total, {}, 0
                 fresh = set(units)
+            total, older = self.total, self.older
             for unit in fresh:
-                counts = self.known[unit] = self.prefixes(unit)
-                self.total[unit] = counts[-1]
-        return units
+                met = older.get(unit)
+                total[unit] = self.prefixes(unit)[-1] if met is None else met
+                self.chars += len(unit)
+        return list(map(self.total.__getitem__, units))
 
     def count(self, text: str) -> int:
-        return sum(map(self.total.__getitem__, self.units(text)))
+        return sum(self.totals(self.units(text)))
+
+    def counted(self, text: str, limit: int) -> tuple[int, int]:
+        """Token count of a text, and characters of its longest prefix within `limit`.
+
+        The limit is met in one unit: prefixes that end in units behind it have more
+        tokens, and only this unit's prefixes are looked at.
+        """
+        units = self.units(text)
+        totals = self.totals(units)
+        n = sum(totals)
+        if n <= limit:
+            return n, len(text)
+        before = np.cumsum([0, *totals[:-1]])
+        k = int(np.searchsorted(before, limit)) - 1  # the last unit with less than the limit before it
+        if k < 0:
+            return n, 0
+        within = np.frombuffer(self.prefixes(units[k]), np.int32)
+        fine = np.flatnonzero(before[k] + within <= limit)
+        chars = sum(map(len, units[:k])) + (int(fine[-1]) + 1 if len(fine) else 0)
+        return n, max(chars - 1, 0)  # without the dummy prefix
 
     def counts(self, text: str) -> np.ndarray:
         """Entry i is the token count of the first i characters, from 0 to all."""
         units = self.units(text)
         if not units:
             return np.zeros(1, np.int32)
-        parts = [np.frombuffer(self.known[u], np.int32) for u in units]
+        known = {u: np.frombuffer(self.prefixes(u), np.int32) for u in set(units)}
+        parts = [known[u] for u in units]
         totals = np.array([p[-1] for p in parts], np.int32)
         before = np.cumsum(totals) - totals
         flat = np.concatenate(parts) + np.repeat(before, [len(p) for p in parts])
@@ -198,11 +223,8 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
         for batch in batches:
             for first, texts in W.slices(batch.column(1)):
                 lists = texts.to_pylist()
-                totals = [model.count(t) for t in lists]
-                fit = [
-                    len(t) if n <= limit else int(np.flatnonzero(model.counts(t) <= limit)[-1])
-                    for t, n in zip(lists, totals, strict=True)
-                ]
+                counted = [model.counted(t, limit) for t in lists]
+                totals, fit = [n for n, _ in counted], [chars for _, chars in counted]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),

@@ -83,3 +83,16 @@ def test_queries_give_digests(spark):
     assert row.n_tokens == len(ids)
     assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(model.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_limit_is_met_as_in_the_counts_of_all_prefixes(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 40)
+    model = token_counts.PrefixCounter(PIECE)
+    texts = ["", " ", "  a", "\n\n\tb", "héé 日本語 𝔘𝔫 x", "日" * 300, "word " * 400, "x" * 5000]
+    texts += [" ".join(f"unit{k * n} of{k}" for k in range(90)) for n in range(1, 6)]
+    for text in texts:
+        counts = model.counts(text)
+        for limit in (0, 1, 2, 5, 17, 100, 10_000):
+            fine = [k for k, n in enumerate(counts.tolist()) if n <= limit]
+            assert model.counted(text, limit) == (counts[-1], fine[-1])
+    assert len(model.total) <= 40 + 300
